@@ -204,16 +204,29 @@ class PieceModel:
         ends = np.asarray(align, np.int32)[wide[np.cumsum(pairs[:, 1])]] if len(pairs) else np.empty(0, np.int32)
         return pairs[:, 0], ends, align[0]
 
-    def decode(self, ids: list[int]) -> str:
-        surface = self.surface
-        out = b"".join(map(surface.__getitem__, ids))
-        first = next((i for i in ids if self.kinds[i] != _CONTROL), None)
-        if first is not None and (self.dummy or self.squeeze) and self.kinds[first] == _NORMAL and out[:1] == b" ":
-            out = out.lstrip(b" ") if self.squeeze else out[1:]
+    def _text(self, ids: list[int]) -> str:
+        out = b"".join(map(self.surface.__getitem__, ids))
         try:
             return out.decode()
         except UnicodeDecodeError:  # byte pieces that are no characters: a replacement character for each byte
-            return re.sub("[\udc80-\udcff]", "�", out.decode("utf-8", "surrogateescape"))
+            return re.sub("[\udc80-\udcff]", "\ufffd", out.decode("utf-8", "surrogateescape"))
+
+    def decode(self, ids: list[int]) -> str:
+        """As the library: control pieces are silent but end a run of byte pieces; the dummy space goes."""
+        kinds, runs = self.kinds, [[]]
+        if ids and any(kinds[i] == _CONTROL for i in set(ids[:-1])):
+            for i in ids:
+                if kinds[i] == _CONTROL:
+                    runs.append([])
+                else:
+                    runs[-1].append(i)
+        else:
+            runs = [ids]
+        first = next((i for i in ids if kinds[i] != _CONTROL), None)
+        out = "".join(map(self._text, runs))
+        if first is not None and (self.dummy or self.squeeze) and kinds[first] == _NORMAL and out[:1] == " ":
+            out = out.lstrip(" ") if self.squeeze else out[1:]
+        return out
 
 
 _models: dict[int, PieceModel] = {}

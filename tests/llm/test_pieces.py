@@ -31,13 +31,12 @@ def random_texts(n=300):
 def test_same_ids_text_and_spans_as_the_library(model, library):
     for text in TEXTS + random_texts():
         ids, ends, start = model.encode(text)
-        proto = library.encode(text, out_type="immutable_proto")
+        proto = library.encode(text, return_type="proto")
         assert ids.tolist() == [p.id for p in proto.pieces], text
         assert model.decode(ids.tolist()) == library.decode(ids.tolist()), text
-        at = [0, *[len(text[:k].encode()) for k in range(1, len(text) + 1)]]
-        assert ends.tolist() == [at[p.end] for p in proto.pieces], text
+        assert ends.tolist() == [p.end for p in proto.pieces], text
         if len(ids):
-            assert start == at[proto.pieces[0].begin]
+            assert start == proto.pieces[0].begin
 
 
 def test_decode_of_arbitrary_ids(model, library):
@@ -63,7 +62,8 @@ def test_longest_prefix_normalisation_with_alignment(rule):
         assert got == want, text
         starts = [0, *[len(got[:k].encode()) for k in range(1, len(got) + 1)]]
         at = [0, *[len(text[:k].encode()) for k in range(1, len(text) + 1)]]
-        assert [align[i] for i in starts] == [at[k] for k in offsets], text
+        if got:  # of nothing the library reports no place
+            assert [align[i] for i in starts] == [at[k] for k in offsets], text
 
 
 def test_query_on_nulls_repeats_clashes_and_empty_tables(spark, library, tmp_path):
