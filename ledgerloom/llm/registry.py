@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, url_filter
+from . import decontaminate, pieces, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,31 @@ SELECT page_id, host, path, host_part || path_part AS rule, coalesce(rule_verdic
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every page's URL by the allow and block rules; urls that no rule fits are allowed."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP8_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws, row_number() OVER () AS rid FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS bs FROM benchmark),
+bl AS (SELECT item, bs, least(len(bs), 10) AS wl FROM b WHERE len(bs) > 0),
+bw AS (SELECT DISTINCT item, wl, array_to_string(bs[i : i + wl - 1], ' ') AS win FROM (SELECT item, bs, wl, unnest(range(1, len(bs) - wl + 2)) AS i FROM bl)),
+dw AS (SELECT rid, wl, i, array_to_string(ws[i : i + wl - 1], ' ') AS win FROM (
+  SELECT rid, ws, wl, unnest(range(1, len(ws) - wl + 2)) AS i FROM w, (SELECT DISTINCT wl FROM bl))),
+m AS (SELECT rid, dw.wl, i, item FROM dw JOIN bw USING (wl, win)),
+h AS (SELECT rid, count(*) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(i, i + wl)) AS p FROM m) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM m WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (rid) LEFT JOIN it USING (rid)
+"""
+
+
+@query("op8_decontaminate", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find the benchmark's ten-word windows in all documents."""
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
