@@ -288,8 +288,13 @@ def decode(ids: Column, df: DataFrame, model_path: str) -> Column:
         model = _model(shared)
         for lists in batches:
             bounds = lists.offsets.to_numpy()
+            starts, stops = bounds[:-1], bounds[1:]
             flat = lists.values.to_numpy(zero_copy_only=False)
             valid = lists.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.array([model.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], valid, strict=True)], pa.string())
+            texts = [pa.array([], pa.string())]
+            for at in range(0, len(lists), _ROWS):  # Python's strings of a few rows at a time
+                rows = zip(starts[at : at + _ROWS], stops[at : at + _ROWS], valid[at : at + _ROWS], strict=True)
+                texts.append(pa.array([model.decode(flat[a:b].tolist()) if ok else None for a, b, ok in rows], pa.string()))
+            yield pa.concat_arrays(texts)
 
     return run(ids)
