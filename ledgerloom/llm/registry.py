@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, pieces, suffix_dedup, url_filter
-from .common import table
+from . import decontaminate, jaccard_join, language, pieces, suffix_dedup, url_filter
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -127,3 +127,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remove all bytes in 100-byte strings that start earlier in the corpus."""
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict every document's language; documents with fold 2 of 4 are held out of the training."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    model = language.train(docs.filter("not held_out").select("text", "lang"))
+    found = docs.select("doc_id", "held_out", "text").withColumn("found", language.identify(docs, model))
+    shares = F.transform("found.languages", lambda x: F.concat_ws(":", x["lang"], F.format_number(x["share"], 3)))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.concat_ws(" ", shares).alias("mixture"))
