@@ -243,7 +243,7 @@ def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     family = LevelFamily()
     for batch in batches:
         docs, tags = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:2])
-        runs = batch.column(3).to_pylist()
+        runs = batch.column(batch.num_columns - 1).to_pylist()
         for row, data, offsets in text_chunks(batch.column(2), _TEXT):
             grams = Grams(data)
             p, text = [], []
@@ -271,28 +271,38 @@ def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _rows(family.append(e[~done]), True)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, tag, text, ranges -> the bytes that stay and the removed spans."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            kept, spans = [], []
-            for text, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                if ranges:
-                    edge = np.zeros(len(raw) + 1, np.int32)
-                    lo = np.array([r["lo"] for r in ranges])
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, lo + np.array([r["pack"] & 127 for r in ranges]) + LENGTH, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    turn = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
-                    spans.append([{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)])
-                    raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                else:
-                    spans.append([])
-                kept.append(raw)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["doc", "tag", "kept", "spans"])
+def _cutter(whole_characters: bool):
+    """doc, tag, text, carried columns, ranges -> doc, tag, the bytes that stay, the removed spans, carried columns."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def removed(raw: bytes, ranges: list[dict]) -> np.ndarray:
+        edge = np.zeros(len(raw) + 1, np.int32)
+        lo = np.array([r["lo"] for r in ranges])
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, lo + np.array([r["pack"] & 127 for r in ranges]) + LENGTH, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        if whole_characters:
+            first = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+            gone = np.logical_and.reduceat(gone, np.flatnonzero(first))[np.cumsum(first) - 1]
+        return gone
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                kept, spans = [], []
+                for text, ranges in zip(batch.column(2).to_pylist(), batch.columns[-1].to_pylist(), strict=True):
+                    raw, own = (text or "").encode(), []
+                    if ranges:
+                        gone = removed(raw, ranges)
+                        turn = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]])))
+                        own = [{"start": int(a), "end": int(b)} for a, b in zip(turn[::2], turn[1::2], strict=True)]
+                        raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                    kept.append(raw)
+                    spans.append(own)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(kept, pa.binary()), pa.array(spans, kind), *batch.columns[3:-1]], names=["doc", "tag", "kept", "spans", *batch.schema.names[3:-1]])
+
+    return cut
 
 
 def variant(text: Column) -> Column:
@@ -300,8 +310,11 @@ def variant(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit(_TAG)).cast("int")
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row of documents: id_col, n_bytes, kept binary (the bytes left), spans array<struct<start,end>> (bytes removed).
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """For every row of documents: id_col, n_bytes, kept binary (the bytes left), spans
+    array<struct<start,end>> (bytes removed), n_removed, and the columns of carry.
+
+    whole_characters keeps a character of which not every byte is covered, so that what is left is a text.
 
     Earlier means a smaller id, or an earlier start in the same document; strings are judged on the input.  A
     null text is empty.  A null id counts as the largest.  Rows alike in id and text are one document and get
@@ -309,20 +322,23 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     texts.  Texts under LENGTH bytes lose nothing.  Other columns are not read; an empty table stays empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), variant(text).alias("tag"), text.alias("text"))
+    base = [F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), variant(text).alias("tag"), text.alias("text")]
+    texts = documents.select(*base)
     met = texts.mapInArrow(_index_texts, _OUT).repartition("key").mapInArrow(_meet, _OUT)
     met = materialize(met.select("doc", F.expr("(pack & 2147483647) >> 14").alias("tag"), "lo", F.expr("pack & 16383").alias("pack"), (F.col("pack") < 0).alias("done")), "op10-runs")
 
-    placed = texts.repartition("doc", "tag")  # one exchange of the texts for both uses
+    # one exchange of the texts for both uses: all its columns go to both, so that the two stay alike
+    placed = documents.select(*base, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]).repartition("doc", "tag")
+    carried = "".join(f", {f.name} {f.dataType.simpleString()}" for f in placed.schema.fields[3:])
 
     def by_document(runs: DataFrame) -> DataFrame:
         return runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "pack")).alias("runs"))
 
-    unsure = placed.join(by_document(met.filter("not done")), ["doc", "tag"]).select("doc", "tag", "text", "runs")
+    unsure = placed.join(by_document(met.filter("not done")), ["doc", "tag"])
     windows = unsure.mapInArrow(_open_runs, _OUT).repartition("key").mapInArrow(_meet_windows, _OUT)
     windows = windows.select("doc", F.expr("(pack & 2147483647) >> 14").alias("tag"), "lo", F.expr("pack & 16383").alias("pack"))
     ranges = by_document(met.filter("done").select("doc", "tag", "lo", "pack").unionByName(windows))
-    whole = placed.join(ranges, ["doc", "tag"], "left").select("doc", "tag", "text", "runs")
-    out = whole.mapInArrow(_cut, "doc long, tag int, kept binary, spans array<struct<start:int,end:int>>")
+    whole = placed.join(ranges, ["doc", "tag"], "left")
+    out = whole.mapInArrow(_cutter(whole_characters), "doc long, tag int, kept binary, spans array<struct<start:int,end:int>>" + carried)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select(F.when(F.col("doc") < _NULL_ID, F.col("doc")).alias(id_col), (F.octet_length("kept") + removed).alias("n_bytes"), "kept", "spans", removed.alias("n_removed"))
+    return out.select(F.when(F.col("doc") < _NULL_ID, F.col("doc")).alias(id_col), (F.octet_length("kept") + removed).alias("n_bytes"), "kept", "spans", removed.alias("n_removed"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c != id_col])
