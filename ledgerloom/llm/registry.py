@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, pieces, suffix_dedup, url_filter
+from . import decontaminate, jaccard_join, language, pieces, suffix_dedup, toxicity, url_filter
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("doc_id", "held_out", "text").withColumn("found", language.identify(docs, model))
     shares = F.transform("found.languages", lambda x: F.concat_ws(":", x["lang"], F.format_number(x["share"], 3)))
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.concat_ws(" ", shares).alias("mixture"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document's toxicity; rows with fold 0 of 5 are held out of the training."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+    model = toxicity.train(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
+    found = docs.withColumn("found", toxicity.score(docs, model))
+    scored = found.select("doc_id", "held_out", F.col("found.score").alias("score"), F.col("found.voters").alias("n_voters"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_voters")
