@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, pieces, suffix_dedup, topk, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, language, pieces, suffix_dedup, topk, toxicity, url_filter
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best vectors for every hundredth one."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op2_html_extract")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by the container paths that its host's pages agree on."""
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
