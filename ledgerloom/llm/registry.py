@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, jaccard_join, language, pieces, suffix_dedup, topk, toxicity, url_filter
+from . import decontaminate, html_extract, jaccard_join, language, pieces, quality, suffix_dedup, topk, toxicity, url_filter
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page, by the container paths that its host's pages agree on."""
     out = html_extract.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep documents whose perplexity under trusted text is within their language's quantile."""
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", F.round(F.exp("logppl"), 6).alias("perplexity"), F.round(F.exp("most"), 6).alias("threshold"), "keep")
