@@ -33,14 +33,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 100 bytes or more that start earlier; documents of which nothing is left go."""
-    cut = suffix_dedup.remove_repeats(docs, whole_characters=True, carry=("text", "lang", "source", "n_chars"))
-    left = cut.withColumn("_left", F.decode("kept", "UTF-8")).filter((F.col("n_removed") == 0) | (F.trim("_left") != ""))
-    changed = F.col("n_removed") > 0
-    return left.select(
-        "doc_id", F.when(changed, F.col("_left")).otherwise(F.col("text")).alias("text"), "lang", "source",
-        F.when(changed, F.length("_left").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"),
-    )
+    """Cut passages of 100 bytes or more that start earlier; documents of which nothing is left go.  A null text becomes empty."""
+    cut = suffix_dedup.remove_repeats(docs, whole_characters=True, carry=("lang", "source", "n_chars"))
+    left = cut.withColumn("text", F.decode("kept", "UTF-8")).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.select("doc_id", "text", "lang", "source", size.alias("n_chars"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
