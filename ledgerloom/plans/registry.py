@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.columns import due
-from ledgerloom.operators import collections, jobs, log, messaging, objects, queues, rpc, schedules, ttl, workflows
+from ledgerloom.operators import collections, health, jobs, log, messaging, objects, queues, rpc, schedules, ttl, workflows
 from ledgerloom.sources.tables import duckdb_views, table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -584,3 +584,27 @@ def trigger_match(spark, d):
     done = table(spark, d, "orders").select(F.lit("collection").alias("source"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("k"))
     listening = table(spark, d, "nation").select(F.lit("collection").alias("source"), F.when(F.col("n_nationkey") % 2 == 0, "1-URGENT").otherwise("2-HIGH").alias("name"), F.col("n_name").alias("trigger"), (F.col("n_nationkey") < 4).alias("enabled"))
     return schedules.match_changes(done, listening)
+
+
+@query("history_trend", (), """WITH h AS (SELECT event_type, event_id, value, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS previous, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events)
+SELECT event_type, count(*) AS samples, round(min(value), 3) AS min_value, round(max(value), 3) AS max_value, round(avg(value), 3) AS mean_value, round(max(value) FILTER (rn = 1), 3) AS latest_value,
+       round(max(value - previous) FILTER (rn = 1), 3) AS change, round(max(CASE WHEN previous <> 0 THEN (value - previous) / previous * 100 END) FILTER (rn = 1), 3) AS change_percent FROM h GROUP BY event_type""")
+def history_trend(spark, d):
+    return health.trend(table(spark, d, "events"), "event_type", "event_id", "value")
+
+
+@query("object_verify", (), "SELECT sha256(text) AS object_id, doc_id % 10 <> 0 OR text = '' AS intact FROM documents")
+def object_verify(spark, d):
+    damaged = F.when(F.col("doc_id") % 10 == 0, F.substring("text", 2, 2**30)).otherwise(F.col("text"))
+    return objects.verify(table(spark, d, "documents").select(F.sha2("text", 256).alias("object_id"), damaged.alias("content")), "content")
+
+
+@query("object_resolve", _OBJECTS, "SELECT namespace, name, object_id FROM object_refs SEMI JOIN (SELECT * FROM objects WHERE size > 1000) USING (object_id)")
+def object_resolve(spark, d):
+    return objects.resolve(view(spark, d, "object_refs"), view(spark, d, "objects").filter("size > 1000")).select("namespace", "name", "object_id")
+
+
+@query("collection_delete", _RECORDS, "SELECT pk, v, o_custkey FROM records WHERE pk % 10 <> 3")
+def collection_delete(spark, d):
+    rows = view(spark, d, "records")
+    return collections.delete(rows, rows.filter("pk % 10 = 3"))
