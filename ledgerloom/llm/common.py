@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import string
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +31,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    release: let Spark's context cleaner drop the shuffle files behind the table, which it does once the driver
+    has collected what referred to them.
+    """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if release:
+        for _ in range(2):
+            gc.collect()
+            df.sparkSession.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,6 @@
 """Suffix-array dedup: remove bytes covered by a string of `LENGTH` bytes that also starts earlier.
 
-Suffixes are indexed sparsely: of the 32-grams in a window of LENGTH bytes the one with the least hash is its
+Suffixes are indexed sparsely: of the 16-grams in a window of LENGTH bytes the one with the least hash is its
 anchor (the leftmost of equals), so equal windows have their anchor at the same place, and a run of windows that
 share an anchor is one entry: anchor, and a fingerprint of the whole context that the run covers.
 
@@ -12,10 +12,10 @@ task runs a family over its own documents first, so a passage leaves a task once
 so copies, however many, take no memory.
 
 Different contexts can still share single windows (where a repeated passage begins or ends).  Two windows around
-one anchor are equal only if the 34 bytes before it or the 34 after it are; entries for which neither holds are
+one anchor are equal only if the 42 bytes before it or the 42 after it are; entries for which neither holds are
 done.  The others are opened into their windows, which meet by fingerprint in the same kind of family.
 
-Full suffix arrays, sorted by bytes, would index every position instead of one in 35.  Fingerprints have 64 bits
+Full suffix arrays, sorted by bytes, would index every position instead of one in 43.  Fingerprints have 64 bits
 (anchor and context together 128).
 """
 
@@ -32,8 +32,8 @@ from .common import materialize
 from .shingles import mix, text_chunks
 
 LENGTH = 100
-_GRAM = 32
-_RUN = LENGTH - _GRAM + 1  # 32-grams in a window
+_GRAM = 16
+_RUN = LENGTH - _GRAM + 1  # grams in a window
 _SIDE = (LENGTH - _GRAM) // 2
 _NULL_ID = 2**63 - 1
 _TAG = (1 << 17) - 1
@@ -51,30 +51,32 @@ def _power(n: int) -> np.uint64:
 
 
 class Grams:
-    """Rolling hashes of all substrings of a byte array whose lengths are 2, 4, 32 and 64."""
+    """Rolling hashes of a byte array: of all substrings whose length is a power of two up to 64, others made of these."""
 
     def __init__(self, data: np.ndarray):
-        def twice(h: np.ndarray, n: int) -> np.ndarray:
-            return h[:-n] * _power(n) + h[n:] if len(h) > n else h[:0]
-
-        self.h2 = twice(_BYTE[data], 1)
-        self.h4 = twice(self.h2, 2)
-        self.h32 = twice(twice(twice(self.h4, 4), 8), 16)
-        self.h64 = twice(self.h32, 32)
-
-    def window(self, p: np.ndarray) -> np.ndarray:
-        """Hashes of the LENGTH bytes from each place."""
-        tail = self.h32[p + 64] * _power(4) + self.h4[p + 96]
-        return mix(self.h64[p] * _power(36) + tail)
+        self.by = {1: _BYTE[data]}
+        for n in (1, 2, 4, 8, 16, 32):
+            h = self.by[n]
+            self.by[2 * n] = h[:-n] * _power(n) + h[n:] if len(h) > n else h[:0]
+
+    def at(self, p: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the `length` bytes (up to 127) from each place."""
+        total = np.zeros(len(p), np.uint64)
+        done = 0
+        for n in (64, 32, 16, 8, 4, 2, 1):
+            if length & n:
+                total = total * _power(n) + self.by[n][p + done]
+                done += n
+        return mix(total)
 
     def side(self, p: np.ndarray) -> np.ndarray:
-        """32-bit hashes, never 0, of the 66 bytes from each place."""
-        return (mix(self.h64[p] * _power(2) + self.h2[p + 64]) >> np.uint64(32)) | np.uint64(1)
+        """32-bit hashes, never 0, of an anchor with the bytes on one side."""
+        return (self.at(p, _GRAM + _SIDE) >> np.uint64(32)) | np.uint64(1)
 
 
 def anchored_runs(grams: Grams, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first and last window start, anchor) of all runs of windows that share an anchor."""
-    value = (mix(grams.h32) >> np.uint64(32)).astype(np.uint32)
+    value = (mix(grams.by[_GRAM]) >> np.uint64(32)).astype(np.uint32)
     shift = np.zeros(len(value), np.uint8)
     wide = 1
     while wide < _RUN:
@@ -147,14 +149,16 @@ class LevelFamily:
         return np.concatenate([*self.levels, np.empty(0, _ENTRY)])
 
 
-def _rows(e: np.ndarray, done: bool) -> pa.RecordBatch:
-    """Entries as rows; of those that are done only the place matters (anchor: the document, to spread them)."""
+def _rows(e: np.ndarray, done: bool, single: bool = False) -> pa.RecordBatch:
+    """Entries as rows; of those that are done only the place matters (anchor: the document, to spread them), single windows have no context."""
     if done and len(e):
         e = _joined(e)
     key = mix(e["doc"].view(np.uint64)) if done else e["anchor"]
     columns = [key.view(np.int64), e["key"].view(np.int64), e["sides"].view(np.int64), e["doc"], e["lo"], e["pack"] | np.int32(-(2**31)) if done else e["pack"]]
     if done:
         columns[1] = columns[2] = np.zeros(len(e), np.int64)
+    elif single:
+        columns[1] = columns[2]
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "context", "sides", "doc", "lo", "pack"])
 
 
@@ -192,8 +196,8 @@ def _index_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(lo):
                 continue
             e = np.zeros(len(lo), _ENTRY)
-            e["anchor"] = mix(grams.h32[q])
-            e["key"] = mix(grams.window(lo) + mix(grams.window(hi) + mix(((hi - lo) << 8 | (q - lo)).astype(np.uint64)))) ^ e["anchor"]
+            e["anchor"] = grams.at(q, _GRAM)
+            e["key"] = mix(grams.at(lo, LENGTH) + mix(grams.at(hi, LENGTH) + mix(((hi - lo) << 8 | (q - lo)).astype(np.uint64)))) ^ e["anchor"]
             before, after = q - _SIDE >= offsets[text], q + _GRAM + _SIDE <= offsets[text + 1]
             sides = np.zeros(len(lo), np.uint64)
             sides[before] = grams.side(q[before] - _SIDE) << np.uint64(32)
@@ -230,12 +234,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(e[done], True)
         yield _rows(family.append(e[~done]), True)
     e = family.entries()
-    unsure = np.zeros(len(e), bool)
+    met = []
     for side in (e["sides"] >> np.uint64(32), e["sides"] & np.uint64(2**32 - 1)):
         at = np.flatnonzero(side)
         _, group, count = np.unique(mix(e["anchor"][at] + mix(side[at])), return_inverse=True, return_counts=True)
-        unsure[at] |= count[group] > 1
-    yield _rows(e[unsure], False)
+        met.append(np.zeros(len(e), bool))
+        met[-1][at] = count[group] > 1
+    # a window holds all bytes before its anchor up to SIDE if it starts there or earlier, else all those after it
+    size, turn = (e["pack"] & 127), (e["pack"] >> 7 & 127) - _SIDE
+    first = np.where(met[0], 0, np.maximum(turn, 0))
+    last = np.where(met[1], size, np.minimum(turn, size))
+    unsure = (met[0] | met[1]) & (first <= last)
+    e, first, last = e[unsure], first[unsure], last[unsure]
+    e["lo"] += first
+    e["pack"] = (e["pack"] & ~np.int32(127)) | (last - first)
+    yield _rows(e, False)
 
 
 def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +266,13 @@ def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text += [np.full(len(x), i) for x in own]
             p, text = np.concatenate(p), np.concatenate(text)
             e = np.zeros(len(p), _ENTRY)
-            e["anchor"] = e["key"] = grams.window(p + offsets[text])
+            e["anchor"] = e["key"] = grams.at(p + offsets[text], LENGTH)
             e["doc"], e["lo"], e["pack"] = docs[row + text], p, tags[row + text].astype(np.int64) << 14
             yield _rows(family.append(e), True)
             if len(family) > _FULL:
-                yield _rows(family.entries(), False)
+                yield _rows(family.entries(), False, True)
                 family = LevelFamily()
-    yield _rows(family.entries(), False)
+    yield _rows(family.entries(), False, True)
 
 
 def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +280,7 @@ def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for e in _gathered(batches):
         done = e["pack"] < 0
         e["pack"] &= 2**31 - 1
+        e["key"] = e["anchor"]
         yield _rows(e[done], True)
         yield _rows(family.append(e[~done]), True)
 
@@ -325,7 +339,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     base = [F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), variant(text).alias("tag"), text.alias("text")]
     texts = documents.select(*base)
     met = texts.mapInArrow(_index_texts, _OUT).repartition("key").mapInArrow(_meet, _OUT)
-    met = materialize(met.select("doc", F.expr("(pack & 2147483647) >> 14").alias("tag"), "lo", F.expr("pack & 16383").alias("pack"), (F.col("pack") < 0).alias("done")), "op10-runs")
+    met = materialize(met.select("doc", F.expr("(pack & 2147483647) >> 14").alias("tag"), "lo", F.expr("pack & 16383").alias("pack"), (F.col("pack") < 0).alias("done")), "op10-runs", release=True)
 
     # one exchange of the texts for both uses: all its columns go to both, so that the two stay alike
     placed = documents.select(*base, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]).repartition("doc", "tag")
