@@ -4,7 +4,7 @@ Two sets of Jaccard similarity t share at least ceil(t * size) elements of eithe
 the shingles they share `c` elements of their first ``size - ceil(t * size) + c`` ones.
 
 * Light: sets below a size boundary enumerate all 2-subsets of that prefix (c = 2); equal subsets meet.
-* Heavy: larger sets scan inverted lists of single prefix elements (c = 1).  Sets down to t * boundary also take
+* Heavy: larger sets scan inverted lists of single prefix elements.  Sets down to t * boundary also take
   part there, so every pair meets in one of the two.
 * The boundary is the one with the lowest estimated cost (subsets enumerated, against list entries scanned), from
   the size histogram and the shingles' collision rate over all documents.
@@ -12,10 +12,14 @@ the shingles they share `c` elements of their first ``size - ceil(t * size) + c`
 The order puts rare shingles first.  Frequencies come from a count sketch of all documents' shingles: 2^22
 counters, whatever the input's size, so that broadcasting it is bounded; any order is correct.
 
-Documents with equal sets are one node.  Within a key's list not all pairs are formed: every member meets a few
-pivots; lists whose members then lie in one component are done; for the others only pairs between different
-components remain, and pivots are drawn anew while these pairs would outgrow the lists.  In the end all that
-remain are verified, so no link between different components is lost.
+Documents with equal sets are one node.  Heavy prefixes are longer than needed by a sixteenth of the set (c = size /
+16), so that similar sets share that many of their keys: sets with too few keys in common with any other leave, and so do
+pairs with too few in common, before any text is looked at.
+
+Within a key's list not all pairs are formed: every member meets a few pivots; lists whose members then lie in
+one component are done; in the others the members outside the main component meet new pivots of it, as long as that
+helps.  In the end all pairs between different components that are left are verified, so no link between
+different components is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -35,16 +39,23 @@ from .shingles import mix, set_id, shingle_sets
 _BITS = 22  # counters of the sketch, as a power of two
 _SLICE = 1 << 16
 _LARGEST_BOUNDARY = 64
-_PIVOTS = 8
-_PIVOT_ROUNDS = 5
-_PAIRS_PER_ENTRY = 8
+_PIVOTS = 4
+_PIVOT_ROUNDS = 4
+_PAIRS_PER_ENTRY = 1
+_BLOCK_ROWS, _BLOCK_BYTES = 256, 1 << 19  # of a block of texts that are compared in one step
 _NULL_ID = 2**63 - 1
+_LIGHT = np.uint64(1)  # the last bit of keys that are 2-subsets
 
 
 def _required(size: int, percent: int) -> int:
     return -(-percent * size // 100)
 
 
+def _common(size: int) -> int:
+    """c of a heavy set of this size: how many prefix elements it shares at least with a similar set of the same c."""
+    return max(1, size // 16)
+
+
 def _profile(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, n, sid) of all documents, and slices of each task's sketch, in one table."""
 
@@ -118,11 +129,11 @@ def _keys(documents: DataFrame, text_col: str, sketch, boundary: int, percent: i
                 short = n - _required(n, percent)
                 own = []
                 if 100 * n >= percent * boundary:
-                    own.append(hashes[order[: short + 1]])
+                    own.append(hashes[order[: short + _common(n)]] & ~_LIGHT)
                 if n < boundary:
                     first = np.sort(hashes[order[: short + 2]])
                     i, j = np.triu_indices(len(first), 1)
-                    own.append(mix(first[i] * np.uint64(3) + mix(first[j])))
+                    own.append(mix(first[i] * np.uint64(3) + mix(first[j])) | _LIGHT)
                 keys += own
                 total = sum(map(len, own))
                 sids.append(np.full(total, sid, np.int64))
@@ -133,62 +144,153 @@ def _keys(documents: DataFrame, text_col: str, sketch, boundary: int, percent: i
     return documents.select(text_col).mapInArrow(run, "key long, sid long, n int")
 
 
-def _shared(keys: DataFrame) -> DataFrame:
-    """Entries of the lists with two different sets at least.  One exchange serves both the aggregate and the join."""
-    keys = keys.repartition("key")
-    lists = keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("key")
-    return materialize(keys.join(lists, "key", "left_semi").distinct(), "op5-lists")
+def _shared(keys: DataFrame, percent: int) -> DataFrame:
+    """(sid, n, keys): the keys that each set shares with another one, where they suffice for a similar set.
+
+    One exchange by key; a window over it, since two uses of a Python result are not recognised as the same.
+    """
+    w = Window.partitionBy("key")
+    met = keys.withColumn("lo", F.min("sid").over(w)).withColumn("hi", F.max("sid").over(w)).filter("lo <> hi").select("key", "sid", "n")
+    own = met.groupBy("sid", "n").agg(F.collect_set("key").alias("keys"))
+    smallest = F.ceil(F.col("n") * percent / 100)
+    enough = (_heavy("keys") >= _least(smallest)) | F.exists("keys", lambda k: k.bitwiseAND(1) == 1)
+    return materialize(own.filter(enough), "op5-sets", release=True)
+
+
+def _heavy(column) -> Column:
+    return F.size(F.filter(column, lambda k: k.bitwiseAND(1) == 0))
 
 
-def _sets(documents: DataFrame, id_col: str, text_col: str, profile: DataFrame, shared: DataFrame) -> DataFrame:
-    """(sid, hashes): the sets that have a partner in some list, made again from one document of each."""
+def _least(size: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(size / 16))
+
+
+def _worth(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes fit and that share enough keys."""
+    one = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    other = sets.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb"))
+    both = pairs.join(one, "a").join(other, "b")
+    near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    met = F.array_intersect("ka", "kb")
+    enough = (_heavy(met) >= _least(F.least("na", "nb"))) | F.exists(met, lambda k: k.bitwiseAND(1) == 1)
+    return both.filter(near).filter(enough).select("a", "b")
+
+
+def _texts(documents: DataFrame, id_col: str, text_col: str, profile: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, text): a text for each set that has a partner in some list.
+
+    Texts travel instead of sets of hashes: they are smaller, and compress.  Where an id has several texts, all
+    of them come; _linked takes the one whose set has the id sid.
+    """
     one = profile.filter("n > 0").groupBy("sid").agg(F.min(F.coalesce("id", F.lit(_NULL_ID))).alias("id"))
-    wanted = one.join(shared.select("sid").distinct(), "sid", "left_semi")
+    wanted = one.join(sets.select("sid"), "sid", "left_semi")
+    texts = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
+    return materialize(texts.join(wanted, "id").select("sid", "text"), "op5-texts", release=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want, sids, sets = batch.column(0).to_pylist(), [], []
-            for row, hashes in shingle_sets(batch.column(1)):
-                if len(hashes) and int(set_id(hashes).view(np.int64)) == want[row]:
-                    sids.append(want[row])
-                    sets.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "hashes"])
 
-    texts = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("_text"))
-    made = texts.join(wanted, "id").select("sid", "_text").mapInArrow(run, "sid long, hashes binary")
-    return materialize(made.dropDuplicates(["sid"]), "op5-sets")
+def _sets(sids: pa.Array, texts: pa.Array) -> list[np.ndarray | None]:
+    """The set of every row's text, None where it isn't the set sid; each text of a batch is cut up once."""
+    ids = sids.to_numpy()
+    kept, at = np.unique(ids, return_index=True)
+    sets = {int(kept[i]): h if len(h) and int(set_id(h).view(np.int64)) == kept[i] else None for i, h in shingle_sets(texts.take(pa.array(at)))}
+    odd = {k for k, h in sets.items() if h is None}
+    out = [sets[int(i)] for i in ids]
+    for row in [i for i, k in enumerate(ids.tolist()) if k in odd]:  # an id with several texts
+        h = next(h for _, h in shingle_sets(texts.slice(row, 1)))
+        out[row] = h if len(h) and int(set_id(h).view(np.int64)) == ids[row] else None
+    return out
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by exact intersection."""
 
+    def similar(x: np.ndarray | None, y: np.ndarray | None) -> bool:
+        if x is None or y is None:
+            return False
+        x, y = (x, y) if len(x) <= len(y) else (y, x)
+        if 100 * len(x) < percent * len(y):
+            return False
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int(np.count_nonzero(y[at] == x))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, other = (c.to_pylist() for c in batch.columns[2:])
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(one, other, strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) >= percent * len(y):
-                    at = np.searchsorted(y, x)
-                    both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    one = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
-    other = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                a, b, x, y = batch.columns
+                yield batch.select(["a", "b"]).filter(pa.array([similar(*s) for s in zip(_sets(a, x), _sets(b, y), strict=True)], pa.bool_()))
+
+    one = texts.select(F.col("sid").alias("a"), F.col("text").alias("x"))
+    other = texts.select(F.col("sid").alias("b"), F.col("text").alias("y"))
     full = pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")
     return full.mapInArrow(run, "a long, b long")
 
 
-def _pivot_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs (a < b) of every entry with its list's pivots: the least ids after flipping bits, per pivot."""
+def _pivot_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of entries (key, sid, comp, main) outside their list's main component with pivots b inside it.
+
+    Before there are components (turn 0) all entries meet pivots among all.  Pivots are the least ids after flipping bits.
+    """
     flips = [int(x) for x in np.random.default_rng(turn).integers(-(2**63), 2**63, _PIVOTS)]
-    pivots = lists.groupBy("key").agg(*[F.min(F.col("sid").bitwiseXOR(F.lit(c))).alias(f"p{j}") for j, c in enumerate(flips)])
+    inside, outside = (lists, lists) if turn == 0 else (lists.filter("comp = main"), lists.filter("comp <> main"))
+    pivots = inside.groupBy("key").agg(*[F.min(F.col("sid").bitwiseXOR(F.lit(c))).alias(f"p{j}") for j, c in enumerate(flips)])
     chosen = F.array_distinct(F.array(*[F.col(f"p{j}").bitwiseXOR(F.lit(c)) for j, c in enumerate(flips)]))
-    met = lists.join(pivots, "key").select("sid", F.explode(chosen).alias("p")).filter("sid <> p")
-    return met.select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
+    return outside.join(pivots, "key").select(F.col("sid").alias("a"), F.explode(chosen).alias("b")).filter("a <> b").distinct()
+
+
+def _other_links(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of one list, with an entry outside the main component: all that pivots left.
+
+    Entries outside meet those of their main component and each other.  A main component's entries travel as
+    blocks of texts, each once for a block outside it; a task compares two blocks by the product of their
+    shingle incidences and emits one link at most for each pair of components.
+    """
+    size = F.octet_length("text").cast("long")
+    away = lists.filter("comp <> main").select("main", "sid", "comp", F.lit(True).alias("away"))
+    near = lists.filter("comp = main").select("main", "sid", "comp", F.lit(False).alias("away"))
+    rows = away.unionByName(near).distinct().join(texts, "sid")
+    parts = rows.groupBy("main", "away").agg(F.ceil(F.greatest(F.sum(size) / _BLOCK_BYTES, F.count("*") / _BLOCK_ROWS)).cast("long").alias("parts"))
+    spread = rows.join(parts, ["main", "away"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.greatest("parts", F.lit(1))))
+    blocks = spread.groupBy("main", "away", "part").agg(F.collect_list(F.struct("sid", "comp", "text")).alias("rows"))
+    one = blocks.filter("away").select("main", F.col("part").alias("p"), F.col("rows").alias("x"))
+    other = blocks.select("main", "away", F.col("part").alias("q"), F.col("rows").alias("y"))
+    both = one.join(other, "main").filter("not away or p <= q").select("x", "y")
+
+    def sets(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """sid, comp, set size of the rows, then (row, shingle) of all their shingles."""
+        rows = block.values
+        sids, comps, texts = (rows.field(i) for i in range(3))
+        made = _sets(sids, texts)
+        hashes = [h if h is not None else np.empty(0, np.uint64) for h in made]
+        sizes = np.array([len(h) for h in hashes])
+        return sids.to_numpy(), comps.to_numpy(), sizes, np.repeat(np.arange(len(hashes)), sizes), np.concatenate(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(*batch.columns, strict=True):
+                (xs, xc, xn, xr, xh), (ys, yc, yn, yr, yh) = sets(x), sets(y)
+                shared = np.intersect1d(xh, yh)
+                common = np.zeros((len(xs), len(ys)), np.float32)
+                for at in range(0, len(shared), 4096):
+                    part = shared[at : at + 4096]
+                    sides = []
+                    for r, h, n in ((xr, xh, len(xs)), (yr, yh, len(ys))):
+                        k = np.minimum(np.searchsorted(part, h), len(part) - 1)
+                        ok = part[k] == h
+                        side = np.zeros((n, len(part)), np.float32)
+                        side[r[ok], k[ok]] = 1
+                        sides.append(side)
+                    common += sides[0] @ sides[1].T
+                linked = (100 * common >= percent * (xn[:, None] + yn[None, :] - common)) & (common > 0) & (xc[:, None] != yc[None, :])
+                i, j = np.nonzero(linked)
+                first = np.unique(np.stack([xc[i], yc[j]], axis=1), axis=0, return_index=True)[1]
+                out.append(np.stack([xs[i[first]], ys[j[first]]]))
+            a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -211,31 +313,31 @@ def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     boundary = choose_boundary({r["n"]: r["count"] for r in small.collect()}, rate, percent)
 
     sketch = spark.sparkContext.broadcast(counts)
-    shared = _shared(_keys(documents, text_col, sketch, boundary, percent))
-    sets = _sets(documents, id_col, text_col, profile, shared)
-
-    lists, links = shared, None
-    for turn in range(_PIVOT_ROUNDS):
-        found = materialize(_linked(_pivot_pairs(lists, turn, percent), sets, percent), "op5-links")
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-        at = F.coalesce("comp", "sid").alias("comp")
-        tagged = shared.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", at)
+    sets = _shared(_keys(documents, text_col, sketch, boundary, percent), percent)
+    texts = _texts(documents, id_col, text_col, profile, sets)
+    entries = sets.select("sid", "n", F.explode("keys").alias("key"))
+
+    lists, comps, costs = entries, None, []
+    for turn in range(_PIVOT_ROUNDS + 1):
+        slow = len(costs) > 1 and 10 * costs[-1] > 9 * costs[-2]
+        last = turn > 0 and (slow or turn == _PIVOT_ROUNDS or costs[-1] <= _PAIRS_PER_ENTRY * size)
+        if last:
+            links = _other_links(lists, texts, percent)
+        else:
+            links = _linked(_worth(_pivot_pairs(lists, turn), sets, percent), texts, percent)
+        comps = components(links if comps is None else links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        if last:
+            break
+        tagged = entries.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
         heads = tagged.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
         heads = heads.agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).filter("top.m < all")
-        heads = materialize(heads.select("key", F.col("top.comp").alias("main"), ((F.col("all") - F.col("top.m")) * F.col("all")).alias("cost"), "all"), "op5-open")
-        lists = tagged.join(heads.select("key", "main"), "key")
-        cost, entries = heads.agg(F.sum("cost"), F.sum("all")).first()
-        if cost is None or cost <= _PAIRS_PER_ENTRY * entries:
+        heads = heads.select("key", F.col("top.comp").alias("main"), ((F.col("all") - F.col("top.m")) * F.col("all")).alias("cost"), "all")
+        lists = materialize(tagged.join(heads, "key"), "op5-open", release=True)
+        per_list = lists.groupBy("key").agg(F.first("cost").alias("cost"), F.first("all").alias("all"))
+        cost, size = per_list.agg(F.sum("cost"), F.sum("all")).first()
+        if cost is None:
             break
-    if cost:
-        lists = materialize(lists, "op5-rest")
-        x = lists.filter("comp <> main").select("key", F.col("sid").alias("a0"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        y = lists.select("key", F.col("sid").alias("b0"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("mb"))
-        near = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-        rest = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & near & (F.col("mb") | (F.col("a0") < F.col("b0"))))
-        rest = rest.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
-        comps = components(links.unionByName(_linked(rest, sets, percent)))
+        costs.append(cost)
     own = members.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     own = own.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     best = own.groupBy("comp").agg(F.min("least").alias("component_id"))
