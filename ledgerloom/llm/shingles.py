@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 K = 5
-_CHUNK = 1 << 21  # bytes of text handled at once (a longer text is handled alone)
+_CHUNK = 1 << 19  # bytes of text handled at once (a longer text is handled alone)
 _BYTES = np.random.default_rng(20).integers(1, 2**64, 256, np.uint64, endpoint=False)
 _BYTES[65:91] = _BYTES[97:123]
 _IS_WORD = np.ones(256, bool)

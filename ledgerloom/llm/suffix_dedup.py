@@ -38,7 +38,7 @@ _SIDE = (LENGTH - _GRAM) // 2
 _NULL_ID = 2**63 - 1
 _TAG = (1 << 17) - 1
 _BATCH = 1 << 16  # entries in a new batch
-_TEXT = 1 << 20  # bytes of text handled at once
+_TEXT = 1 << 18  # bytes of text handled at once
 _FULL = 1 << 21  # entries after which a map task hands over its family and starts anew
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(30).integers(1, 2**64, 256, np.uint64, endpoint=False)
