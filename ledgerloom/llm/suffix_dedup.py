@@ -36,14 +36,13 @@ _GRAM = 16
 _RUN = LENGTH - _GRAM + 1  # grams in a window
 _SIDE = (LENGTH - _GRAM) // 2
 _NULL_ID = 2**63 - 1
-_TAG = (1 << 17) - 1
 _BATCH = 1 << 16  # entries in a new batch
 _TEXT = 1 << 18  # bytes of text handled at once
 _FULL = 1 << 21  # entries after which a map task hands over its family and starts anew
 _ROOT = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(30).integers(1, 2**64, 256, np.uint64, endpoint=False)
-_ENTRY = np.dtype([("key", "u8"), ("anchor", "u8"), ("sides", "u8"), ("doc", "i8"), ("lo", "i4"), ("pack", "i4")])
-_OUT = "key long, context long, sides long, doc long, lo int, pack int"
+_ENTRY = np.dtype([("key", "u8"), ("anchor", "u8"), ("sides", "u8"), ("doc", "i8"), ("tag", "i8"), ("lo", "i4"), ("pack", "i4")])
+_OUT = "key long, context long, sides long, doc long, tag long, lo int, pack int"
 
 
 def _power(n: int) -> np.uint64:
@@ -103,12 +102,11 @@ def anchored_runs(grams: Grams, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _earlier(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether entries a start before entries b: by document, variant, place."""
-    ta, tb = a["pack"] >> 14, b["pack"] >> 14
-    return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & ((ta < tb) | ((ta == tb) & (a["lo"] < b["lo"]))))
+    return (a["doc"] < b["doc"]) | ((a["doc"] == b["doc"]) & ((a["tag"] < b["tag"]) | ((a["tag"] == b["tag"]) & (a["lo"] < b["lo"]))))
 
 
 def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a["doc"] == b["doc"]) & (a["lo"] == b["lo"]) & (a["pack"] == b["pack"])
+    return (a["doc"] == b["doc"]) & (a["tag"] == b["tag"]) & (a["lo"] == b["lo"]) & (a["pack"] == b["pack"])
 
 
 class LevelFamily:
@@ -123,7 +121,7 @@ class LevelFamily:
     def append(self, batch: np.ndarray) -> np.ndarray:
         """Take in a batch; the entries, of it or from the levels, that repeat an earlier one."""
         repeated = []
-        batch = batch[np.lexsort((batch["lo"], batch["pack"] >> 14, batch["doc"], batch["key"]))]
+        batch = batch[np.lexsort((batch["lo"], batch["tag"], batch["doc"], batch["key"]))]
         head = np.ones(len(batch), bool)
         head[1:] = batch["key"][1:] != batch["key"][:-1]
         owner = batch[head][np.cumsum(head) - 1]
@@ -150,25 +148,25 @@ class LevelFamily:
 
 
 def _rows(e: np.ndarray, done: bool, single: bool = False) -> pa.RecordBatch:
-    """Entries as rows; of those that are done only the place matters (anchor: the document, to spread them), single windows have no context."""
+    """Entries as rows; of those that are done only the place matters (anchor: the text, to spread them), single windows have no context."""
     if done and len(e):
         e = _joined(e)
-    key = mix(e["doc"].view(np.uint64)) if done else e["anchor"]
-    columns = [key.view(np.int64), e["key"].view(np.int64), e["sides"].view(np.int64), e["doc"], e["lo"], e["pack"] | np.int32(-(2**31)) if done else e["pack"]]
+    key = mix(e["doc"].view(np.uint64) ^ mix(e["tag"].view(np.uint64))) if done else e["anchor"]
+    columns = [key.view(np.int64), e["key"].view(np.int64), e["sides"].view(np.int64), e["doc"], e["tag"], e["lo"], e["pack"] | np.int32(-(2**31)) if done else e["pack"]]
     if done:
         columns[1] = columns[2] = np.zeros(len(e), np.int64)
     elif single:
         columns[1] = columns[2]
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "context", "sides", "doc", "lo", "pack"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "context", "sides", "doc", "tag", "lo", "pack"])
 
 
 def _joined(e: np.ndarray) -> np.ndarray:
     """Repeated runs of one document that touch, as far as an entry's seven bits reach."""
-    e = e[np.lexsort((e["lo"], e["pack"] >> 14, e["doc"]))]
+    e = e[np.lexsort((e["lo"], e["tag"], e["doc"]))]
     hi = e["lo"] + (e["pack"] & 127)
     block = e["lo"] >> 5
     same = np.zeros(len(e), bool)
-    same[1:] = (e["doc"][1:] == e["doc"][:-1]) & (e["pack"][1:] >> 14 == e["pack"][:-1] >> 14) & (e["lo"][1:] <= hi[:-1] + 1) & (block[1:] == block[:-1])
+    same[1:] = (e["doc"][1:] == e["doc"][:-1]) & (e["tag"][1:] == e["tag"][:-1]) & (e["lo"][1:] <= hi[:-1] + 1) & (block[1:] == block[:-1])
     first = np.flatnonzero(~same)
     out = e[first].copy()
     reach = np.maximum.reduceat(hi, first)  # at most 31 + LENGTH - GRAM after lo
@@ -178,7 +176,7 @@ def _joined(e: np.ndarray) -> np.ndarray:
 
 def _entries(batch: pa.RecordBatch) -> np.ndarray:
     e = np.empty(batch.num_rows, _ENTRY)
-    for name, column in zip(("anchor", "key", "sides", "doc", "lo", "pack"), batch.columns, strict=True):
+    for name, column in zip(("anchor", "key", "sides", "doc", "tag", "lo", "pack"), batch.columns, strict=True):
         e[name] = column.to_numpy(zero_copy_only=False).view(_ENTRY[name])
     return e
 
@@ -203,8 +201,8 @@ def _index_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sides[before] = grams.side(q[before] - _SIDE) << np.uint64(32)
             sides[after] |= grams.side(q[after])
             e["sides"] = sides
-            e["doc"], e["lo"] = docs[row + text], lo - offsets[text]
-            e["pack"] = (hi - lo) | (q - lo) << 7 | tags[row + text].astype(np.int64) << 14
+            e["doc"], e["tag"], e["lo"] = docs[row + text], tags[row + text], lo - offsets[text]
+            e["pack"] = (hi - lo) | (q - lo) << 7
             yield _rows(family.append(e), True)
             if len(family) > _FULL:
                 yield _rows(family.entries(), False)
@@ -267,7 +265,7 @@ def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, text = np.concatenate(p), np.concatenate(text)
             e = np.zeros(len(p), _ENTRY)
             e["anchor"] = e["key"] = grams.at(p + offsets[text], LENGTH)
-            e["doc"], e["lo"], e["pack"] = docs[row + text], p, tags[row + text].astype(np.int64) << 14
+            e["doc"], e["tag"], e["lo"] = docs[row + text], tags[row + text], p
             yield _rows(family.append(e), True)
             if len(family) > _FULL:
                 yield _rows(family.entries(), False, True)
@@ -321,7 +319,7 @@ def _cutter(whole_characters: bool):
 
 def variant(text: Column) -> Column:
     """Tells texts apart that share an id."""
-    return F.xxhash64(text).bitwiseAND(F.lit(_TAG)).cast("int")
+    return F.xxhash64(text)
 
 
 def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -339,7 +337,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     base = [F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), variant(text).alias("tag"), text.alias("text")]
     texts = documents.select(*base)
     met = texts.mapInArrow(_index_texts, _OUT).repartition("key").mapInArrow(_meet, _OUT)
-    met = materialize(met.select("doc", F.expr("(pack & 2147483647) >> 14").alias("tag"), "lo", F.expr("pack & 16383").alias("pack"), (F.col("pack") < 0).alias("done")), "op10-runs", release=True)
+    met = materialize(met.select("doc", "tag", "lo", F.expr("pack & 16383").alias("pack"), (F.col("pack") < 0).alias("done")), "op10-runs", release=True)
 
     # one exchange of the texts for both uses: all its columns go to both, so that the two stay alike
     placed = documents.select(*base, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]).repartition("doc", "tag")
@@ -350,9 +348,9 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     unsure = placed.join(by_document(met.filter("not done")), ["doc", "tag"])
     windows = unsure.mapInArrow(_open_runs, _OUT).repartition("key").mapInArrow(_meet_windows, _OUT)
-    windows = windows.select("doc", F.expr("(pack & 2147483647) >> 14").alias("tag"), "lo", F.expr("pack & 16383").alias("pack"))
+    windows = windows.select("doc", "tag", "lo", F.expr("pack & 16383").alias("pack"))
     ranges = by_document(met.filter("done").select("doc", "tag", "lo", "pack").unionByName(windows))
     whole = placed.join(ranges, ["doc", "tag"], "left")
-    out = whole.mapInArrow(_cutter(whole_characters), "doc long, tag int, kept binary, spans array<struct<start:int,end:int>>" + carried)
+    out = whole.mapInArrow(_cutter(whole_characters), "doc long, tag long, kept binary, spans array<struct<start:int,end:int>>" + carried)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select(F.when(F.col("doc") < _NULL_ID, F.col("doc")).alias(id_col), (F.octet_length("kept") + removed).alias("n_bytes"), "kept", "spans", removed.alias("n_removed"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry) if c != id_col])

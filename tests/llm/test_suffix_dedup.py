@@ -54,6 +54,18 @@ def test_repeated_rows_and_empty_table(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_many_texts_without_an_id(spark):
+    r = random.Random(2)
+    rows = []
+    for i in range(2500):
+        own = "".join(r.choices("abcdefgh \n", k=r.randint(110, 400)))
+        rows.append((None, own + own if i % 2 else own))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.text: x.kept.decode() for x in suffix_dedup.remove_repeats(df, carry=("text",)).collect()}
+    alone = {t: t[: len(t) // 2] if t[: len(t) // 2] * 2 == t else t for _, t in rows}
+    assert got == alone
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_family_reports_all_but_the_earliest(seed):
     r = np.random.default_rng(seed)
