@@ -1,8 +1,9 @@
 """HTML main-text extraction by consensus host paths.
 
 1. Every page is cut into blocks of text under a tree of open elements; menus, headers, footers, sidebars, notices,
-   adverts, forms, scripts, styles and reader comments are recognised by tag, role and class words.  Containers are
-   scored by the text of their blocks without links: the nearest container gets all of it, outer ones ever less.
+   adverts, forms, scripts, styles and reader comments are recognised by tag, role and class words.  A class word
+   silences no element that holds an article, a main, an h1 or, where no article or main has a text of its own, most
+   of the page's text without links.  Containers are scored by the text of their blocks without links: the nearest container gets all of it, outer ones ever less.
 2. The best container's generalised path (tags with classes and ids, digits made alike) is the page's vote;
    Spark counts the votes of every host.
 3. Every page is extracted again with its host's winning paths: the first that it has; a page that has none of
@@ -24,7 +25,7 @@ from .common import materialize
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|object|svg|math|select|button)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|title|iframe|svg)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -32,7 +33,10 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i img ins kbd label mark object q ruby rb rp rt s samp select small span strike strong sub sup time tt u var wbr "
+    "math semantics mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mspace mstyle".split()
+)
 _NOISE_TAGS = frozenset("head nav header footer aside form dialog menu audio video canvas map frameset fieldset".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _NOISE_WORDS = frozenset(
@@ -41,6 +45,8 @@ _NOISE_WORDS = frozenset(
     "notification alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies "
     "share sharing social related recommended recommendations widget widgets search form copyright disclaimer skip hidden".split()
 )
+#: Words that make a name say how something is set out, not what it holds: no-sidebar, comments-open.
+_STATES = frozenset("no not has have with without is open opened closed enabled disabled".split())
 _CONTAINERS = frozenset("article main section div body td content center html".split())
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 _BLOCKS_END_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -51,12 +57,13 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 @dataclass
 class Page:
-    """Elements (parent, tag, path, noise) and blocks (element, text, characters in links) in page order."""
+    """Elements (parent, tag, path, noise, and whether only a class word makes it so) and blocks (element, text, characters in links) in page order."""
 
     parents: list[int] = field(default_factory=lambda: [-1])
     tags: list[str] = field(default_factory=lambda: [""])
     paths: list[str] = field(default_factory=lambda: [""])
     noise: list[bool] = field(default_factory=lambda: [False])
+    worded: list[bool] = field(default_factory=lambda: [False])
     headed: list[bool] = field(default_factory=lambda: [False])  # in an article's own header
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
@@ -84,16 +91,16 @@ def parse(source: str) -> Page:
         nonlocal links
         found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
         names = found.get("class", "").split()
-        words = {w for name in (*names, found.get("id", "")) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())}
         parent = stack[-1]
         header = tag == "header" and any(page.tags[i] == "article" for i in stack)
         odd = tag in _NOISE_TAGS and not header or found.get("role", "").lower() in _NOISE_ROLES
-        odd = odd or bool(words & _NOISE_WORDS) and tag not in ("html", "body", "article", "main")
+        worded = not odd and tag not in ("html", "body", "article", "main") and any(map(_noise_name, (*names, found.get("id", ""))))
         label = tag + "".join(f".{re.sub(r'[0-9]+', '0', n)}" for n in sorted(names)) + (f"#{re.sub(r'[0-9]+', '0', found['id'])}" if found.get("id") else "")
         page.parents.append(parent)
         page.tags.append(tag)
         page.paths.append(">".join([*page.paths[parent].split(">")[1 - _LEVELS :], label]))
         page.noise.append(page.noise[parent] or odd)
+        page.worded.append(worded)
         page.headed.append(page.headed[parent] or header)
         stack.append(len(page.tags) - 1)
         links += tag == "a"
@@ -131,9 +138,39 @@ def parse(source: str) -> Page:
         texts.append(source[at:])
         linked += len(source) - at if links else 0
     end_block()
+    _silence(page)
     return page
 
 
+def _noise_name(name: str) -> bool:
+    """Whether the first or the last part of a class name or id is a noise word."""
+    parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    return bool(parts) and not _STATES.intersection(parts) and (parts[0] in _NOISE_WORDS or parts[-1] in _NOISE_WORDS)
+
+
+def _silence(page: Page) -> None:
+    """Noise by class words, for elements that hold none of the page's main parts."""
+    if not any(page.worded):
+        return
+    n = len(page.tags)
+    weight, main = [0] * n, [not page.noise[i] and page.tags[i] in ("article", "main", "h1") for i in range(n)]
+    for element, text, linked in page.blocks:
+        if not page.noise[element]:
+            weight[element] += max(0, len(text) - linked)
+    own = weight.copy()
+    for i in range(n - 1, 0, -1):
+        weight[page.parents[i]] += weight[i]
+        main[page.parents[i]] |= main[i]
+    inside, said = [False] * n, [False] * n  # an article or main; what a class word would silence, or a heading
+    for i in range(1, n):
+        inside[i] = inside[page.parents[i]] or page.tags[i] in ("article", "main")
+        said[i] = said[page.parents[i]] or page.worded[i] and not main[i] or page.tags[i] in _HEADINGS
+    marked = any(own[i] and inside[i] and not said[i] for i in range(n))
+    for i in range(1, n):
+        most = not marked and 2 * weight[i] > weight[0]
+        page.noise[i] = page.noise[i] or page.noise[page.parents[i]] or page.worded[i] and not main[i] and not most
+
+
 def _useful(page: Page, element: int) -> bool:
     if page.noise[element]:
         return False

@@ -28,6 +28,23 @@ def test_odd_sources():
     assert len(main_text(parse(long), [])) == 999999
 
 
+def test_class_words_do_not_silence_the_main_part():
+    body = "<p>The body of the text goes on for a while and has an end.</p>"
+    for source in (
+        f"<div id=page class=has-sidebar><article><h1>Title</h1>{body}</article><div class=sidebar>Side</div></div>",
+        f"<div class=no-sidebar><h1>Title</h1>{body}</div><div class=sidebar-left>Side</div>",
+        f"<div class='post comments-open'><h2>Title</h2>{body}<div class=comments-area>Nice</div></div>",
+        f"<div class=social-page><p>Title</p>{body}</div><div class=social>Follow us</div>",
+        f"<article><div class=entry-header><h1>Title</h1></div>{body}<div class=related-posts>More</div></article>",
+    ):
+        assert main_text(parse(source), []) == "Title\nThe body of the text goes on for a while and has an end.", source
+
+
+def test_formulas_objects_and_controls_in_an_article_stay():
+    source = "<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p><object><p>A picture.</p></object><p>Press <button>Start</button> now.</p><form><button>Send</button></form></article>"
+    assert main_text(parse(source), []) == "So x=1 holds.\nA picture.\nPress Start now."
+
+
 def test_host_votes_win_over_a_page_of_its_own_kind(spark):
     usual = "<body><div class=story><p>The story of page {0} goes on for a while and has an end.</p></div><div class=extra><p>x</p></div></body>"
     odd = "<body><div class=story><p>Short.</p></div><div class=extra><p>A very long extra text that by itself would win over the short story, by far.</p></div></body>"
