@@ -17,19 +17,29 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents whose language can't be determined; a missing lang becomes the predicted one."""
+    """Reject documents whose language can't be determined; a missing lang becomes the predicted one.
+
+    Without any labelled row to learn from all rows stay as they are.
+    """
     model = language.train(docs.filter(fold(F.col("doc_id"), 4) != 2).select("text", "lang"))
+    if not model.languages:
+        return docs.select(*COLUMNS)
     found = docs.select(*COLUMNS).withColumn("_found", language.identify(docs, model))
     kept = found.filter(F.col("_found.lang") != language.UNDETERMINED)
     return kept.withColumn("lang", F.coalesce("lang", "_found.lang")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document stays of each group of near copies: the one with the smallest id.  Rows without an id stay."""
-    groups = jaccard_join.link_components(docs)
-    keep = groups.select(F.col("component_id").alias("doc_id")).dropna().distinct()
-    named = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.select(*COLUMNS).filter("doc_id is null"))
+    """One row stays of each group of near copies: the one with the smallest id (none: the largest), then text hash.
+
+    Rows alike in id and text are one document; different texts that share an id, or have none, are told apart.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id")
+    found = jaccard_join.link_components(docs, rows=True).select(key, F.col("text_key").alias("_text"), "component")
+    linked = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("_id", "_text")).alias("first")).select("first.*")
+    keep = linked.unionByName(found.filter("component is null").select("_id", "_text").distinct())
+    rows = docs.select(*COLUMNS, key, F.xxhash64("text").alias("_text"))
+    return rows.join(keep, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +57,10 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode the texts that are left: doc_id, lang, source, n_tokens, ids."""
-    coded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Encode the texts that are left, and decode them: doc_id, lang, source, n_tokens, ids, decoded."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(docs, path, keep=("doc_id", "lang", "source")).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return coded.withColumn("decoded", pieces.decode(F.col("ids"), coded, path))
 
 
 STAGES = [

@@ -56,8 +56,9 @@ def _common(size: int) -> int:
     return max(1, size // 16)
 
 
-def _profile(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, n, sid) of all documents, and slices of each task's sketch, in one table."""
+def _profile(documents: DataFrame, id_col: str, text_col: str, rows: bool) -> DataFrame:
+    """Rows (id, n, sid and, for rows, a hash of the text) of all documents, and slices of each task's sketch, in one table."""
+    more, names = ([F.xxhash64(text_col).alias("text_key")], ["text_key"]) if rows else ([], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << _BITS, np.uint32)
@@ -71,12 +72,12 @@ def _profile(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if held:
                 sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << _BITS).astype(np.uint32)
             empty = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid.view(np.int64)), empty, pa.nulls(batch.num_rows, pa.binary())], names=["id", "n", "sid", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid.view(np.int64)), empty, pa.nulls(batch.num_rows, pa.binary()), *batch.columns[2:]], names=["id", "n", "sid", "slice", "counts", *names])
         parts = [(i, zlib.compress(sketch[i * _SLICE : (i + 1) * _SLICE].tobytes(), 1)) for i in range((1 << _BITS) // _SLICE)]
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(parts), pa.int32()), none, pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary())], names=["id", "n", "sid", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(parts), pa.int32()), none, pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary()), *[none] * len(names)], names=["id", "n", "sid", "slice", "counts", *names])
 
-    return materialize(documents.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n int, sid long, slice int, counts binary"), "op5-profile")
+    return materialize(documents.select(F.col(id_col).cast("long").alias("id"), text_col, *more).mapInArrow(run, "id long, n int, sid long, slice int, counts binary" + ", text_key long" * rows), "op5-profile")
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
@@ -293,20 +294,23 @@ def _other_links(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, rows: bool = False) -> DataFrame:
     """One row for each document: id_col, n_shingles, component_id (least id reachable by links, itself included).
 
     Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of 5-word shingles.  Documents
     without words or with a null text have an empty set and link with nothing; equal sets always link.  Rows
     without an id take part in links and get the component's least id (null if it has none).  Repeated rows link
     with each other.  Other columns are not read; an empty table gives an empty result.
+
+    rows adds text_key (xxhash64 of the text, tells rows apart that share an id) and component (the same for all
+    linked rows, with or without an id; null for an empty set).
     """
     if not 67 <= percent <= 100:
         raise ValueError("percent must be from 67 to 100: below, sets of one or two shingles link with larger ones")
     spark = documents.sparkSession
-    profile = _profile(documents, id_col, text_col)
+    profile = _profile(documents, id_col, text_col, rows)
     counts = _sketch(profile)
-    members = profile.filter("slice is null").select("id", "n", "sid")
+    members = profile.filter("slice is null").select("id", "n", "sid", *["text_key"] * rows)
     small = members.filter(f"n between 3 and {_LARGEST_BOUNDARY * 100 // percent}").groupBy("n").count()
     total = float(counts.sum(dtype=np.float64))
     rate = max(0.0, float(np.square(counts.astype(np.float64)).sum()) / total**2 - 2.0**-_BITS) if total else 0.0
@@ -341,8 +345,9 @@ def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     own = members.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     own = own.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     best = own.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = own.join(best, "comp").select("sid", "component_id")
+    named = own.join(best, "comp").select("sid", "component_id", *["comp"] * rows)
+    more = [F.col("text_key"), F.col("comp").alias("component")] if rows else []
     return (
         members.join(named, "sid", "left")
-        .select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        .select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *more)
     )

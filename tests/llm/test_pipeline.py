@@ -36,3 +36,20 @@ def test_nulls_repeats_and_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs.limit(0), str(tmp_path))
         assert docs.count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path):
+    base = "the quick brown fox jumps over the lazy dog near the old stone bridge by the river at noon"
+    other = "a wholly different report tells of prices that rose in spring and fell again before winter came"
+    third = "these words belong to a text without any number and they appear in two rows of the table"
+    rows = [(1, base), (2, base), (2, other), (None, third), (None, third), (None, base), (7, "1 2"), (7, "1 2")]
+    docs = spark.createDataFrame([(*r, "en", "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, base), (2, other), (0, third), (7, "1 2")])
+
+
+def test_no_labels_and_decoding(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the cat sleeps", None, "s", 14), (2, "the dog runs", None, "s", 12)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.language_id(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2]
+    assert sorted(r.decoded for r in corpus_pipeline.tokens(spark, left, str(tmp_path)).collect()) == ["the cat sleeps", "the dog runs"]
