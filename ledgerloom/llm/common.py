@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import string
-import time
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
+BATCH_BYTES = 4 << 20
+_MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_local_root: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,33 +21,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir); a session on one machine may leave it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root.get(spark.sparkContext.applicationId)
     if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if not root:  # single-machine sessions, as in tests
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _local_root[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
     return f"{root.rstrip('/')}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    release: let Spark's context cleaner drop the shuffle files behind the table, which it does once the driver
-    has collected what referred to them.
+    Nothing reads the shuffle files behind the table again, so Spark drops them when the table is written.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """From now on Arrow batches of this session hold `size` bytes (or one larger row), unless it is set to less.
+
+    Every operator that runs Python calls this: what a Python worker holds then depends neither on the number of
+    rows in a batch nor on the length of most texts.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        for _ in range(2):
-            gc.collect()
-            df.sparkSession.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if int(spark.conf.get(_MOST_BYTES).rstrip("b")) > size:
+        spark.conf.set(_MOST_BYTES, str(size))
 
 
 def ascii_lower(text: Column) -> Column:

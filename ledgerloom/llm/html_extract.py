@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -229,6 +229,7 @@ def host_paths(pages: DataFrame, url_col: str, html_col: str, keep: int = 3) ->
                 votes.append(page.paths[best] if best else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string())], names=["host", "path"])
 
+    bound_batches(pages.sparkSession)
     rows = pages.select(_host(url_col).alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
     votes = rows.mapInArrow(vote, "host string, path string").dropna().groupBy("host", "path").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "path"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .components import components
 from .shingles import mix, set_id, shingle_sets
 
@@ -43,6 +43,7 @@ _PIVOTS = 4
 _PIVOT_ROUNDS = 4
 _PAIRS_PER_ENTRY = 1
 _BLOCK_ROWS, _BLOCK_BYTES = 256, 1 << 19  # of a block of texts that are compared in one step
+_GROUP = 8  # blocks that one key of a task compares with a block
 _NULL_ID = 2**63 - 1
 _LIGHT = np.uint64(1)  # the last bit of keys that are 2-subsets
 
@@ -56,9 +57,8 @@ def _common(size: int) -> int:
     return max(1, size // 16)
 
 
-def _profile(documents: DataFrame, id_col: str, text_col: str, rows: bool) -> DataFrame:
-    """Rows (id, n, sid and, for rows, a hash of the text) of all documents, and slices of each task's sketch, in one table."""
-    more, names = ([F.xxhash64(text_col).alias("text_key")], ["text_key"]) if rows else ([], [])
+def _profile(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, n, sid, hash of the text) of all documents, and slices of each task's sketch, in one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << _BITS, np.uint32)
@@ -70,14 +70,15 @@ def _profile(documents: DataFrame, id_col: str, text_col: str, rows: bool) -> Da
                     n[row], sid[row] = len(hashes), set_id(hashes)
                     held.append(hashes >> np.uint64(64 - _BITS))
             if held:
-                sketch += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << _BITS).astype(np.uint32)
+                at, times = np.unique(np.concatenate(held), return_counts=True)
+                sketch[at.astype(np.int64)] += times.astype(np.uint32)
             empty = pa.nulls(batch.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid.view(np.int64)), empty, pa.nulls(batch.num_rows, pa.binary()), *batch.columns[2:]], names=["id", "n", "sid", "slice", "counts", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid.view(np.int64)), empty, pa.nulls(batch.num_rows, pa.binary()), batch.column(2)], names=["id", "n", "sid", "slice", "counts", "text_key"])
         parts = [(i, zlib.compress(sketch[i * _SLICE : (i + 1) * _SLICE].tobytes(), 1)) for i in range((1 << _BITS) // _SLICE)]
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(parts), pa.int32()), none, pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary()), *[none] * len(names)], names=["id", "n", "sid", "slice", "counts", *names])
+        yield pa.RecordBatch.from_arrays([none, pa.nulls(len(parts), pa.int32()), none, pa.array([i for i, _ in parts], pa.int32()), pa.array([b for _, b in parts], pa.binary()), none], names=["id", "n", "sid", "slice", "counts", "text_key"])
 
-    return materialize(documents.select(F.col(id_col).cast("long").alias("id"), text_col, *more).mapInArrow(run, "id long, n int, sid long, slice int, counts binary" + ", text_key long" * rows), "op5-profile")
+    return materialize(documents.select(F.col(id_col).cast("long").alias("id"), text_col, F.xxhash64(text_col).alias("text_key")).mapInArrow(run, "id long, n int, sid long, slice int, counts binary, text_key long"), "op5-profile")
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
@@ -155,7 +156,7 @@ def _shared(keys: DataFrame, percent: int) -> DataFrame:
     own = met.groupBy("sid", "n").agg(F.collect_set("key").alias("keys"))
     smallest = F.ceil(F.col("n") * percent / 100)
     enough = (_heavy("keys") >= _least(smallest)) | F.exists("keys", lambda k: k.bitwiseAND(1) == 1)
-    return materialize(own.filter(enough), "op5-sets", release=True)
+    return materialize(own.filter(enough), "op5-sets")
 
 
 def _heavy(column) -> Column:
@@ -180,13 +181,13 @@ def _worth(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _texts(documents: DataFrame, id_col: str, text_col: str, profile: DataFrame, sets: DataFrame) -> DataFrame:
     """(sid, text): a text for each set that has a partner in some list.
 
-    Texts travel instead of sets of hashes: they are smaller, and compress.  Where an id has several texts, all
-    of them come; _linked takes the one whose set has the id sid.
+    Texts travel instead of sets of hashes: they are smaller, and compress.  A text is known by its id and its
+    hash, so rows without an id, or with the same one, don't meet; of rows alike in both one comes.
     """
-    one = profile.filter("n > 0").groupBy("sid").agg(F.min(F.coalesce("id", F.lit(_NULL_ID))).alias("id"))
-    wanted = one.join(sets.select("sid"), "sid", "left_semi")
-    texts = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    return materialize(texts.join(wanted, "id").select("sid", "text"), "op5-texts", release=True)
+    one = profile.filter("n > 0").groupBy("sid").agg(F.min(F.struct(F.coalesce("id", F.lit(_NULL_ID)).alias("id"), "text_key")).alias("first"))
+    wanted = one.join(sets.select("sid"), "sid", "left_semi").select("sid", "first.*")
+    texts = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return materialize(texts.join(wanted, ["id", "text_key"]).dropDuplicates(["id", "text_key"]).select("sid", "text"), "op5-texts")
 
 
 def _sets(sids: pa.Array, texts: pa.Array) -> list[np.ndarray | None]:
@@ -244,8 +245,9 @@ def _other_links(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of one list, with an entry outside the main component: all that pivots left.
 
     Entries outside meet those of their main component and each other.  A main component's entries travel as
-    blocks of texts, each once for a block outside it; a task compares two blocks by the product of their
-    shingle incidences and emits one link at most for each pair of components.
+    blocks of texts, each once for a block outside it, and are dealt by that block and a group of _GROUP blocks, so
+    that the work of a key is bounded.  A task compares two blocks by the product of their shingle incidences and
+    emits one link at most for each pair of components.
     """
     size = F.octet_length("text").cast("long")
     away = lists.filter("comp <> main").select("main", "sid", "comp", F.lit(True).alias("away"))
@@ -254,9 +256,13 @@ def _other_links(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     parts = rows.groupBy("main", "away").agg(F.ceil(F.greatest(F.sum(size) / _BLOCK_BYTES, F.count("*") / _BLOCK_ROWS)).cast("long").alias("parts"))
     spread = rows.join(parts, ["main", "away"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.greatest("parts", F.lit(1))))
     blocks = spread.groupBy("main", "away", "part").agg(F.collect_list(F.struct("sid", "comp", "text")).alias("rows"))
-    one = blocks.filter("away").select("main", F.col("part").alias("p"), F.col("rows").alias("x"))
-    other = blocks.select("main", "away", F.col("part").alias("q"), F.col("rows").alias("y"))
-    both = one.join(other, "main").filter("not away or p <= q").select("x", "y")
+    sizes = parts.groupBy("main").agg(F.max(F.when(F.col("away"), F.col("parts"))).alias("outside"), F.max("parts").alias("most"))
+    blocks = blocks.join(sizes, "main")
+    groups = F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / _GROUP))
+    one = blocks.filter("away").select("main", F.col("part").alias("p"), F.col("rows").alias("x"), F.explode(groups).alias("g"))
+    turns = F.sequence(F.lit(0).cast("long"), F.col("outside") - 1)
+    other = blocks.select("main", "away", F.explode(turns).alias("p"), F.floor(F.col("part") / _GROUP).alias("g"), F.col("part").alias("q"), F.col("rows").alias("y"))
+    both = one.join(other, ["main", "p", "g"]).filter("not away or p <= q").select("x", "y")
 
     def sets(block: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """sid, comp, set size of the rows, then (row, shingle) of all their shingles."""
@@ -308,7 +314,8 @@ def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     if not 67 <= percent <= 100:
         raise ValueError("percent must be from 67 to 100: below, sets of one or two shingles link with larger ones")
     spark = documents.sparkSession
-    profile = _profile(documents, id_col, text_col, rows)
+    bound_batches(spark)
+    profile = _profile(documents, id_col, text_col)
     counts = _sketch(profile)
     members = profile.filter("slice is null").select("id", "n", "sid", *["text_key"] * rows)
     small = members.filter(f"n between 3 and {_LARGEST_BOUNDARY * 100 // percent}").groupBy("n").count()
@@ -336,7 +343,7 @@ def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         heads = tagged.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
         heads = heads.agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).filter("top.m < all")
         heads = heads.select("key", F.col("top.comp").alias("main"), ((F.col("all") - F.col("top.m")) * F.col("all")).alias("cost"), "all")
-        lists = materialize(tagged.join(heads, "key"), "op5-open", release=True)
+        lists = materialize(tagged.join(heads, "key"), "op5-open")
         per_list = lists.groupBy("key").agg(F.first("cost").alias("cost"), F.first("all").alias("all"))
         cost, size = per_list.agg(F.sum("cost"), F.sum("all")).first()
         if cost is None:
@@ -344,7 +351,8 @@ def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         costs.append(cost)
     own = members.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     own = own.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    best = own.groupBy("comp").agg(F.min("least").alias("component_id"))
+    # behind a table, so that Spark can split the rows of a component that holds many
+    best = materialize(own.groupBy("comp").agg(F.min("least").alias("component_id")), "op5-least")
     named = own.join(best, "comp").select("sid", "component_id", *["comp"] * rows)
     more = [F.col("text_key"), F.col("comp").alias("component")] if rows else []
     return (

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .shingles import text_chunks
 
 BUCKETS = 1 << 16
@@ -53,6 +54,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     An empty table gives a model without languages.
     """
 
+    bound_batches(labelled.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -126,6 +129,7 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", penalt
     Null texts, texts without a letter, and any text under a model without languages: `und`, 0, no languages.
     The model's size is fixed per language; it is broadcast.
     """
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])
 

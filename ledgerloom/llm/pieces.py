@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER_DEFINED, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _MEMO = 120_000  # words in each of the two generations that a worker remembers
@@ -242,6 +244,7 @@ def _model(shared) -> PieceModel:
 
 
 def _share(df: DataFrame, model_path: str):
+    bound_batches(df.sparkSession)
     with open(model_path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .shingles import mix, text_chunks
 
 LENGTH = 100
@@ -333,11 +333,12 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     the same answer each; texts that share an id count one after the other, in an order that depends on the
     texts.  Texts under LENGTH bytes lose nothing.  Other columns are not read; an empty table stays empty.
     """
+    bound_batches(documents.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = [F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), variant(text).alias("tag"), text.alias("text")]
     texts = documents.select(*base)
     met = texts.mapInArrow(_index_texts, _OUT).repartition("key").mapInArrow(_meet, _OUT)
-    met = materialize(met.select("doc", "tag", "lo", F.expr("pack & 16383").alias("pack"), (F.col("pack") < 0).alias("done")), "op10-runs", release=True)
+    met = materialize(met.select("doc", "tag", "lo", F.expr("pack & 16383").alias("pack"), (F.col("pack") < 0).alias("done")), "op10-runs")
 
     # one exchange of the texts for both uses: all its columns go to both, so that the two stay alike
     placed = documents.select(*base, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]).repartition("doc", "tag")
