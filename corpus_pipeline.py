@@ -59,8 +59,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts that are left, and decode them: doc_id, lang, source, n_tokens, ids, decoded."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(docs, path, keep=("doc_id", "lang", "source")).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
-    return coded.withColumn("decoded", pieces.decode(F.col("ids"), coded, path))
+    coded = pieces.encode(docs, path, keep=("doc_id", "lang", "source"), decoded=True)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -154,4 +154,5 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", penalt
                     out.append({"lang": names[first], "score": min(1.0, found[first]), "languages": [{"lang": names[k], "share": v} for k, v in found.items()]})
             yield pa.array(out, kind)
 
-    return run(F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)))
+    # not deterministic for the planner: a filter on the result must not run the inference a second time
+    return run.asNondeterministic()(F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)))

@@ -26,7 +26,7 @@ from .common import bound_batches
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER_DEFINED, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-_MEMO = 120_000  # words in each of the two generations that a worker remembers
+_MEMO = 60_000  # words in each of the two generations that a worker remembers
 _ROWS = 256  # documents in a batch of results
 _SHORT = 48  # symbols up to which a merge scans instead of using a heap
 
@@ -249,13 +249,13 @@ def _share(df: DataFrame, model_path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, model_path: str, text_col: str = "text", add_eos: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Encode every whole text: the columns of keep, then ids array<int>, ends array<int>, start int.
+def encode(df: DataFrame, model_path: str, text_col: str = "text", add_eos: bool = True, keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """Encode every whole text: the columns of keep, then ids array<int>, ends array<int>, start int; for decoded also decoded string.
 
     Piece i covers the source's UTF-8 bytes [ends[i-1], ends[i]) (the first from start); of a character's
     fallback bytes the last one holds the span.  The end id has an empty span.  A null text is an empty one
     (no ids but the end id).  Rows are independent: repeated rows repeat, an empty table stays empty, columns
-    outside keep are not read.  Narrow transformation.
+    outside keep are not read.  Narrow transformation.  decoded is what decode makes of the ids, in the same pass.
     """
     shared = _share(df, model_path)
     rows = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -268,18 +268,20 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", add_eos: bool
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
-                ids, ends, starts, sizes = [], [], [], [0]
+                ids, ends, starts, sizes, back = [], [], [], [0], []
                 for text in batch.column(n_keep).to_pylist():
                     i, e, start = model.encode(text)
                     ids += i, tail
                     ends += e, np.full(len(tail), e[-1] if len(e) else start, np.int32)
                     starts.append(start)
                     sizes.append(len(i) + len(tail))
+                    if decoded:
+                        back.append(model.decode([*i.tolist(), *tail.tolist()]))
                 offsets = pa.array(np.cumsum(sizes, dtype=np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x), pa.int32())) for x in (ids, ends)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *lists, pa.array(starts, pa.int32())], names=[*keep, "ids", "ends", "start"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *lists, pa.array(starts, pa.int32()), *([pa.array(back, pa.string())] if decoded else [])], names=[*keep, "ids", "ends", "start", *["decoded"] * decoded])
 
-    return rows.mapInArrow(run, schema + ", ids array<int>, ends array<int>, start int")
+    return rows.mapInArrow(run, schema + ", ids array<int>, ends array<int>, start int" + ", decoded string" * decoded)
 
 
 def decode(ids: Column, df: DataFrame, model_path: str) -> Column:

@@ -1,57 +1,48 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are the 63 most frequent lower-cased characters of the trusted text and one for all others, so that four of
-them make a 24-bit n-gram: the model has at most 64^4 entries whatever the corpus, which bounds what is
-collected and broadcast.  Count tables are DataFrames sharded by their key: continuation counts, context totals,
-discounts and interpolated probabilities of each order come from joins of count shards (n-gram with context, and
-with the lower order's n-gram).  Tasks look documents up in the finished table.  A document is kept unless its
-perplexity exceeds its language's quantile of the trusted documents' perplexities by more than a margin.
+N-grams are ORDER code points, whatever the script; before a text stand ORDER - 1 marks.  Counts, continuation counts,
+context totals, discounts and probabilities are DataFrames keyed by the n-gram, so they are dealt over the cluster and
+grow with the corpus.
+
+1. Each task counts its distinct n-grams, of all documents (those of trusted text count, the others are only named).
+2. Joins of count shards (n-gram, context, and the shorter n-gram's probability) give every n-gram that occurs in any
+   document its probability.
+3. The finished table is cut into shards of at most `shard` n-grams by hash.  A shard, whose size is bounded, is broadcast;
+   tasks sum their documents' n-grams over it, and a document's sums over all shards make its perplexity.  The number of
+   shards grows with the table.
+
+A document's perplexity counts with its lower confidence bound (two standard errors of the mean over its characters),
+as a few characters say little.  Documents are kept up to their language's quantile of that bound over trusted documents
+that were held out of the model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
+from .shingles import mix
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
+ORDER = 4
+SHARD = 1 << 21  # n-grams in a broadcast shard (12 bytes each, and 8 of slots)
+BROADCAST_IDS = 2_000_000  # ids of 8 bytes each
+_FULL = 1 << 20  # distinct n-grams after which a task hands over its counts and starts anew
 _CHUNK = 1 << 20  # characters handled at once
-_MASK = (1 << (BITS * (ORDER - 1))) - 1
-BROADCAST_ROWS = 2_000_000
-
-
-@dataclass(frozen=True)
-class NgramModel:
-    """alphabet: code points by symbol (symbol 0: any other); tables: per order (grams, log probability, contexts, log backoff)."""
-
-    alphabet: np.ndarray
-    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-    def dense(self) -> np.ndarray:
-        """Log-probability of the last symbol of every n-gram of the highest order."""
-        low = np.full(SYMBOLS, -np.log(SYMBOLS), np.float32)
-        for m, (grams, logp, contexts, backoff) in enumerate(self.tables, 1):
-            size = 1 << BITS * (m - 1)
-            share = np.zeros(size, np.float32)
-            share[contexts] = backoff
-            full = np.tile(low, size * SYMBOLS // len(low)) + np.repeat(share, SYMBOLS)
-            full[grams] = logp
-            low = full
-        return low
+_MARK = 2
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, code points of lower-cased texts, offsets)."""
+    """(first row, code points of the texts, offsets) of runs of rows."""
     texts, at, size = [], 0, 0
     for row, t in enumerate(column.to_pylist()):
-        texts.append((t or "").lower())
+        texts.append(t or "")
         size += len(texts[-1])
         if size >= _CHUNK:
             yield at, *_points(texts)
@@ -62,50 +53,91 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), offsets
-
-
-def _grams(points: np.ndarray, offsets: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each character; texts begin after ORDER - 1 symbols 0."""
-    n = len(points)
-    symbols = symbol_of[np.minimum(points, len(symbol_of) - 1)].astype(np.int64)
-    grams = symbols.copy()
-    for k in range(1, ORDER):
-        part = np.zeros(n, np.int64)
-        part[k:] = symbols[: n - k] << (BITS * k)
-        for j in range(k):  # the first characters of a text see nothing before it
-            part[np.minimum(offsets[:-1] + j, n)[offsets[:-1] + j < offsets[1:]]] = 0
-        grams |= part
-    return grams
-
-
-def _symbol_of(alphabet: np.ndarray) -> np.ndarray:
-    table = np.zeros(int(alphabet.max(initial=0)) + 2, np.uint8)
-    table[alphabet] = np.arange(1, len(alphabet) + 1)
-    return table
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    u, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(at, np.concatenate(counts), len(u)).astype(np.int64)
-
-
-def _counted(texts: DataFrame, values) -> DataFrame:
-    """(g, c): how often values(points, offsets) occur in all texts, summed up in each task first."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), offsets
+
+
+def _marked(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with marks before each, and the place of each character."""
+    sizes = np.diff(offsets)
+    marked = np.full(len(points) + (ORDER - 1) * len(sizes), _MARK, np.uint32)
+    place = np.arange(len(points)) + np.repeat((ORDER - 1) * np.arange(1, len(sizes) + 1), sizes)
+    marked[place] = points
+    return marked, place
+
+
+def _hashes(marked: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hash of the n-gram that ends at each place."""
+    h = np.zeros(len(place), np.uint64)
+    for k in range(ORDER - 1, -1, -1):
+        h = h * _STEP + marked[place - k] + np.uint64(1)
+    return mix(h)
+
+
+class HashIndex:
+    """Places of distinct 64-bit keys, by open addressing over whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.mask = keys, (1 << max(4, (2 * len(keys)).bit_length())) - 1
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        left, at = np.arange(len(keys), dtype=np.int32), (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Each wanted key's place in keys, -1 if it isn't there."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1, np.int32)
+        at = (wanted & np.uint64(self.mask)).astype(np.int64)
+        found = self.slots[at]
+        left = np.flatnonzero((self.keys[found] != wanted) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            own = self.slots[at[left]]
+            found[left] = own
+            left = left[(self.keys[own] != wanted[left]) & (own >= 0)]
+        return found
+
+
+def count_grams(rows: DataFrame) -> DataFrame:
+    """rows (text, counts boolean) -> (g, c): all distinct n-grams, and how often they occur in texts that count."""
+    bound_batches(rows.sparkSession)
+
+    def packed(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        text = grams.tobytes().decode("utf-32-le")
+        return pa.RecordBatch.from_arrays([pa.array([text[i : i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(counts)], names=["g", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        grams, counts, index = np.empty((0, ORDER), np.uint32), np.empty(0, np.int64), HashIndex(np.empty(0, np.uint64))
         for batch in batches:
-            for _, points, offsets in _chunks(batch.column(0)):
-                if len(points):
-                    u, c = np.unique(values(points, offsets), return_counts=True)
-                    keys, counts = map(lambda x: [x], _merged([*keys, u.astype(np.int64)], [*counts, c]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], names=["g", "c"])
-
-    return texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
-
-
-def _discounts(counts: DataFrame) -> list[float]:
+            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for row, points, offsets in _chunks(batch.column(0)):
+                if not len(points):
+                    continue
+                marked, place = _marked(points, offsets)
+                hashes = _hashes(marked, place)
+                found = index.find(hashes)
+                missing = np.flatnonzero(found < 0)
+                if len(missing):
+                    new, first = np.unique(hashes[missing], return_index=True)
+                    at = place[missing[first]]
+                    grams = np.concatenate([grams, np.stack([marked[at - k] for k in range(ORDER - 1, -1, -1)], axis=1)])
+                    counts = np.concatenate([counts, np.zeros(len(new), np.int64)])
+                    index = HashIndex(np.concatenate([index.keys, new]))
+                    found[missing] = index.find(hashes[missing])
+                counted = np.repeat(flags[row : row + len(offsets) - 1], np.diff(offsets))
+                counts += np.bincount(found[counted], minlength=len(counts))
+                if len(counts) > _FULL:
+                    yield packed(grams, counts)
+                    grams, counts, index = grams[:0], counts[:0], HashIndex(index.keys[:0])
+        yield packed(grams, counts)
+
+    return rows.mapInArrow(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
+
+
+def discounts(counts: DataFrame) -> list[float]:
     """The three modified Kneser-Ney discounts from the numbers of n-grams that occur once to four times."""
     n = {r.c: r.n for r in counts.filter("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}
     n1, n2, n3, n4 = (n.get(i, 0) for i in (1, 2, 3, 4))
@@ -117,90 +149,114 @@ def _discounts(counts: DataFrame) -> list[float]:
     return out
 
 
-def train(texts: DataFrame, text_col: str = "text") -> NgramModel:
-    """A model of all whole texts; null and empty texts add nothing, no text gives the uniform model."""
-    texts = texts.select(F.col(text_col).alias("text")).filter("length(text) > 0")
-    points = _counted(texts, lambda p, o: p).orderBy(F.desc("c"), "g").limit(SYMBOLS - 1).collect()
-    alphabet = np.array([r.g for r in points], np.int64)
-    symbols = _symbol_of(alphabet)
-    counts = materialize(_counted(texts, lambda p, o: _grams(p, o, symbols)), "op4-counts")
-    orders = {ORDER: counts}
+def probabilities(grams: DataFrame) -> DataFrame:
+    """grams (g, c) -> (g, p): the interpolated probability of each n-gram's last character after the others.
+
+    The shortest order falls back to a uniform choice among the characters seen and one more for all others.
+    Without any count all probabilities are 1.
+    """
+    low, context = F.substring("g", 2, ORDER), F.expr("substring(g, 1, char_length(g) - 1)")
+    counts, wanted = {ORDER: grams.filter("c > 0")}, {ORDER: grams.select("g")}
     for m in range(ORDER - 1, 0, -1):  # continuation counts: in how many different n-grams of the next order
-        orders[m] = materialize(orders[m + 1].groupBy((F.col("g").bitwiseAND((1 << BITS * m) - 1)).alias("g")).agg(F.count("*").alias("c")), "op4-counts")
-    lower, tables = None, []
+        counts[m] = materialize(counts[m + 1].groupBy(low.alias("g")).agg(F.count("*").alias("c")), "op4-counts")
+        wanted[m] = materialize(wanted[m + 1].select(low.alias("g")).distinct(), "op4-wanted")
+    lower = None
     for m in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(orders[m])
-        cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        rows = orders[m].select("g", "c", F.shiftright("g", BITS).alias("ctx"), F.col("g").bitwiseAND((1 << BITS * (m - 1)) - 1).alias("low"), cut.alias("cut"))
-        contexts = rows.groupBy("ctx").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("back"))
-        rows = rows.join(contexts, "ctx")
-        if lower is None:
-            rows = rows.withColumn("p0", F.lit(1.0 / SYMBOLS))
+        d1, d2, d3 = discounts(counts[m])
+        rows = counts[m].withColumn("cut", F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3))
+        if m == 1:
+            whole = rows.agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("back"), F.count("*").alias("n")).first()
+            if not whole.n:
+                return grams.select("g", F.lit(1.0).alias("p"))
+            p = F.coalesce((F.col("c") - F.col("cut")) / whole.total, F.lit(0.0)) + whole.back / (whole.n + 1)
+            lower = wanted[1].join(rows, "g", "left").select("g", p.alias("p"))
         else:
-            rows = rows.join(lower.select(F.col("g").alias("low"), F.col("p").alias("p0")), "low")
-        lower = materialize(rows.select("g", ((F.col("c") - F.col("cut")) / F.col("total") + F.col("back") * F.col("p0")).alias("p"), "ctx", "back"), "op4-order")
-        own = lower.toPandas()  # 64^m rows at most
-        first = own.drop_duplicates("ctx")
-        tables.append((own.g.to_numpy(), np.log(own.p.to_numpy()).astype(np.float32), first.ctx.to_numpy(), np.log(first.back.to_numpy()).astype(np.float32)))
-    return NgramModel(alphabet, tables)
-
-
-_dense: dict[int, np.ndarray] = {}
-
-
-def log_perplexity(df: DataFrame, model: NgramModel, text_col: str = "text") -> Column:
-    """Mean negative log-probability of the characters of each row's whole text; null for null and empty texts."""
-    shared = df.sparkSession.sparkContext.broadcast((id(model), model))
-
-    @F.arrow_udf("double")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        key, m = shared.value
-        if key not in _dense:
-            _dense.clear()
-            _dense[key] = m.dense()
-        logp, symbols = _dense[key], _symbol_of(m.alphabet)
-        for column in batches:
-            out = np.full(len(column), np.nan)
-            for row, points, offsets in _chunks(column):
-                if len(points):
-                    sums = np.concatenate([[0.0], np.cumsum(logp[_grams(points, offsets, symbols)], dtype=np.float64)])
-                    size = np.diff(offsets)
-                    some = np.flatnonzero(size)
-                    out[row + some] = -(sums[offsets[1:]] - sums[offsets[:-1]])[some] / size[some]
-            yield pa.array(out, from_pandas=True)
-
-    return run(F.col(text_col))
-
-
-def thresholds(trusted: DataFrame, lang_col: str, quantile: float, margin: float, least: int) -> DataFrame:
-    """(lang, most): the quantile of logppl plus a margin by language, and under a null language over all trusted rows.
-
-    Languages with fewer than `least` trusted rows are left to the overall threshold.  Sketch-based quantiles
-    (relative rank error 1/10000): memory does not grow with the rows.
-    """
-    q = (F.percentile_approx("logppl", quantile, 10000) + margin).alias("most")
-    own = trusted.groupBy(F.col(lang_col).alias("lang")).agg(q, F.count("*").alias("n")).filter(F.col("lang").isNotNull() & (F.col("n") >= least))
-    return own.select("lang", "most").unionByName(trusted.agg(q).select(F.lit(None).cast("string").alias("lang"), "most"))
+            contexts = rows.groupBy(context.alias("ctx")).agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("back"))
+            asked = wanted[m].select("g", context.alias("ctx"), low.alias("low")).join(rows, "g", "left").join(contexts, "ctx", "left")
+            asked = asked.join(lower.select(F.col("g").alias("low"), F.col("p").alias("p0")), "low")
+            p = F.coalesce((F.col("c") - F.col("cut")) / F.col("total"), F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("p0")
+            lower = asked.select("g", p.alias("p"))
+        lower = materialize(lower, "op4-order")
+    return lower
 
 
-def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, margin: float = 0.05, least: int = 20) -> DataFrame:
-    """For every row of documents: id_col, lang, logppl, most (the threshold), keep.
+def _log_table(probs: DataFrame) -> DataFrame:
+    """(h, logp): the hash under which documents look an n-gram up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = np.frombuffer("".join(batch.column(0).to_pylist()).encode("utf-32-le"), np.uint32)
+            h = _hashes(points, np.arange(ORDER - 1, len(points), ORDER))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.log(batch.column(1).to_numpy()).astype(np.float32))], names=["h", "logp"])
 
-    The threshold is the language's, plus one over the root of the text's length: the perplexity of a few
-    characters says little.
-    Trusted text: documents that labels (id_col, quality) marks 1.  Null and empty texts have no perplexity
-    and are not kept; without trusted text everything else is.  A null id is untrusted; repeated rows are judged alike.
+    return probs.select("g", "p").mapInArrow(run, "h long, logp float")
+
+
+_held: dict[int, HashIndex] = {}
+
+
+def log_losses(documents: DataFrame, probs: DataFrame, keep: list[str], shard: int = SHARD) -> DataFrame:
+    """documents (text, columns of keep) -> keep, loss and squares: sums of -log p over the text's characters, and of its squares.
+
+    keep has to tell apart different texts; rows alike in it get the same sums, each.
+    """
+    spark = documents.sparkSession
+    table = materialize(_log_table(probs), "op4-table")
+    shards = max(1, -(-table.count() // shard))
+    names = [f.name for f in documents.select(*keep).schema.fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema.fields) + ", loss double, squares double"
+
+    def part(k: int) -> DataFrame:
+        own = table.filter(F.pmod("h", F.lit(shards)) == k).toArrow()  # about `shard` rows
+        shared = spark.sparkContext.broadcast((k, own.column("h").to_numpy().view(np.uint64), np.append(own.column("logp").to_numpy(), np.float32(0))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, keys, logp = shared.value
+            index = HashIndex(keys)
+            for batch in batches:
+                sums = np.zeros((2, batch.num_rows))
+                for row, points, offsets in _chunks(batch.column(0)):
+                    loss = -logp[index.find(_hashes(*_marked(points, offsets)))].astype(np.float64)
+                    for total, values in zip(sums, (loss, loss * loss), strict=True):
+                        run_sum = np.concatenate([[0.0], np.cumsum(values)])
+                        total[row : row + len(offsets) - 1] = run_sum[offsets[1:]] - run_sum[offsets[:-1]]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, sums)], names=[*names, "loss", "squares"])
+
+        return documents.select("text", *keep).mapInArrow(run, schema)
+
+    parts = [part(k) for k in range(shards)]
+    if shards == 1:
+        return parts[0]
+    copies = F.count("*") / shards
+    sums = reduce(DataFrame.unionByName, parts).groupBy(*keep).agg(copies.cast("int").alias("copies"), (F.sum("loss") / copies).alias("loss"), (F.sum("squares") / copies).alias("squares"))
+    return sums.select(*keep, "loss", "squares", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("col")
+
+
+def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, least: int = 20, shard: int = SHARD) -> DataFrame:
+    """For every row of documents: id_col, lang, logppl (mean loss of a character), least (its lower confidence bound), most (the threshold), keep.
+
+    Trusted text: documents that labels (id_col, quality) marks 1 and never otherwise; one in five of them, by a hash
+    of the id, is held out of the model and sets the thresholds.  Languages with fewer than `least` such rows, and
+    rows without a language, take the threshold of all of them.  Null and empty texts have no perplexity and are not kept; without
+    trusted text, or with none held out, everything else is.  A null id is untrusted; repeated rows are judged alike.
     """
-    good = labels.filter("quality = 1").select(F.col(id_col)).dropna().distinct()
-    good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    trusted = rows.join(good.withColumnRenamed(id_col, "id"), "id", "left_semi")
-    model = train(trusted)
-    scored = materialize(rows.select("id", "lang", log_perplexity(rows, model).alias("logppl"), F.length("text").alias("n")), "op4-scores")
-    bar = thresholds(scored.join(good.withColumnRenamed(id_col, "id"), "id", "left_semi").filter("logppl is not null"), "lang", quantile, margin, least)
-    bar = materialize(bar, "op4-thresholds")
-    overall = bar.filter("lang is null").first().most  # one row
-    own = scored.join(bar.filter("lang is not null"), "lang", "left")
-    most = F.coalesce("most", F.lit(float("inf") if overall is None else overall)) + 1 / F.sqrt(F.greatest("n", F.lit(1)))
-    kept = F.col("logppl").isNotNull() & (F.col("logppl") <= F.col("most"))
-    return own.withColumn("most", most).select(F.col("id").alias(id_col), "lang", "logppl", "most", kept.alias("keep"))
+    good = labels.select(F.col(id_col).alias("id"), "quality").dropna(subset=["id"]).groupBy("id").agg(F.min("quality").alias("q")).filter("q = 1").select("id")
+    good = materialize(good, "op4-trusted")
+    if good.count() <= BROADCAST_IDS:
+        good = F.broadcast(good)
+    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
+    marked = rows.join(good.withColumn("good", F.lit(True)), "id", "left").select("text", (F.coalesce("good", F.lit(False)) & ~held).alias("counts"))
+    grams = materialize(count_grams(marked), "op4-grams")
+    n = F.char_length("text").alias("n")
+    scored = materialize(log_losses(rows.select("id", "lang", "text", n, F.xxhash64("text").alias("key")), probabilities(grams), ["id", "lang", "n", "key"], shard), "op4-scores")
+    mean = F.when(F.col("n") > 0, F.col("loss") / F.col("n"))
+    error = F.sqrt(F.greatest(F.col("squares") / F.col("n") - mean * mean, F.lit(0.0)) / F.col("n"))
+    scored = scored.select("id", "lang", mean.alias("logppl"), (mean - 2 * error).alias("least"))
+    judged = scored.filter(held).filter("logppl is not null").join(good, "id", "left_semi")
+    q = F.percentile_approx("least", quantile, 10000).alias("most")
+    bars = materialize(judged.groupBy("lang").agg(q, F.count("*").alias("n")).filter((F.col("n") >= least) & F.col("lang").isNotNull()).select("lang", "most").unionByName(judged.agg(q).select(F.lit(None).cast("string").alias("lang"), "most")), "op4-thresholds")
+    overall = bars.filter("lang is null").first().most  # one row
+    own = scored.join(bars.filter("lang is not null"), "lang", "left")
+    most = F.coalesce("most", F.lit(float("inf") if overall is None else overall))
+    return own.select(F.col("id").alias(id_col), "lang", "logppl", "least", most.alias("most"), (F.col("logppl").isNotNull() & (F.col("least") <= most)).alias("keep"))

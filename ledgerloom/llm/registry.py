@@ -29,16 +29,14 @@ def query(name: str, sql: str | None = None):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the 32k BPE model."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents"), path)
-    digests = coded.select(
+    coded = pieces.encode(table(spark, sf_dir, "documents"), path, decoded=True)
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
         F.get("ends", F.size("ends") - 1).cast("long").alias("n_bytes"),
-        "ids",
     )
-    text = digests.withColumn("_text", pieces.decode(F.col("ids"), digests, path))
-    return text.select("doc_id", "n_tokens", "ids_sha256", F.sha2("_text", 256).alias("decoded_sha256"), "n_bytes")
 
 
 URL_RULES = [

@@ -1,13 +1,13 @@
 """Exact top-k search by no-random-access aggregation.
 
-Every dimension of a block of vectors is a sorted list.  For a query the lists are read sequentially, from the end
-that its weight favours, in rounds that go deeper.  What a vector's read components give, plus for the unread
-ones the best (worst) value still possible in their lists, bounds its score from above (below).  Reading stops when
-no outsider's upper bound can reach the k-th lower bound; the scores of the vectors that are left are then
-resolved.  Bounds carry over from block to block of a task, so later blocks stop early.
-
-The stated queries meet all vectors in blocks of fixed size, each pair of blocks in one task; what leaves a task is k
-rows for each query that it saw.
+Every dimension of a block of vectors is a sorted list.  For a query the lists are read sequentially, in equal steps
+from the end that its weight favours.  What a vector's read components give, plus for the unread ones the best (worst)
+value still possible in their lists, bounds its score from above (below).  Reading stops when no outsider's upper
+bound can reach the k-th lower bound, at the latest at the end of the lists, where the bounds meet; the final scores
+of those that are left are then resolved.  The k-th score carries over from block to block, so later blocks stop early.
+
+The stated queries meet all vectors in blocks: a key is a group of at most GROUP queries and one share of the vectors,
+so what a task holds is bounded; what leaves it is k rows for each query that it saw.
 """
 
 from __future__ import annotations
@@ -19,9 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 BLOCK = 2048  # vectors in a block
 QUERIES = 256  # queries in a block
-_DEPTHS = (0.02, 0.08, 0.25)  # fractions of the lists read by round
+GROUP = 16_384  # queries whose best rows a task holds at once
+_STEPS = 16  # in which the lists are read
 
 
 class SortedLists:
@@ -29,40 +32,45 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(vectors, self.order, axis=0)
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        self.values = np.take_along_axis(vectors.T, self.order, axis=1)
+        self.most = max(-int(vectors.min(initial=0)), int(vectors.max(initial=0)))
+        self.searches = self.entries = self.read = 0  # list entries there were, and were read
 
     def search(self, query: np.ndarray, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes and scores of all vectors that may belong to the k best with a score of floor at least."""
+        """Indexes and exact scores of all vectors that may belong to the k best with a score of floor at least."""
         n, d = self.vectors.shape
+        reach = d * self.most * max(-int(query.min(initial=0)), int(query.max(initial=0)))
+        if reach >= 2**63:
+            raise OverflowError("scores of these vectors do not fit 64 bits")
         used = np.flatnonzero(query)
         if not len(used):
             return np.arange(n), np.zeros(n, np.int64)
-        weight = query[used]
-        down = weight > 0
-        order, values = self.order[:, used], self.values[:, used]
-        known = np.zeros(n, np.int64)
-        unread = np.ones((n, len(used)), bool)
-        worst = np.where(down, values[0], values[-1]) * weight
-        at = 0
-        for depth in _DEPTHS:
-            stop = max(k, int(depth * n))
-            if stop >= n:
-                break
-            for j in range(len(used)):
-                part = slice(at, stop) if not down[j] else slice(n - stop, n - at)
-                rows = order[part, j]
-                known[rows] += values[part, j] * weight[j]
-                unread[rows, j] = False
+        kind = np.float64 if reach < 2**52 else np.int64  # doubles are exact up to there, and faster
+        weight = query[used].astype(kind)
+        down = (weight > 0)[:, None]
+        order = np.where(down, self.order[used, ::-1], self.order[used])
+        values = np.where(down, self.values[used, ::-1], self.values[used]).astype(kind) * weight[:, None]  # descending
+        worst = values[:, -1]
+        known, unread, at = np.zeros(n, kind), np.ones((n, len(used)), kind), 0
+        lists = np.repeat(np.arange(len(used)), -(-n // _STEPS)).reshape(len(used), -1)
+        self.searches += 1
+        self.entries += order.size
+        while True:
+            stop = min(n, at + lists.shape[1])
+            rows = order[:, at:stop]
+            if kind is np.float64:
+                known += np.bincount(rows.ravel(), values[:, at:stop].ravel(), n)
+            else:
+                np.add.at(known, rows.ravel(), values[:, at:stop].ravel())
+            unread[rows.ravel(), lists[:, : stop - at].ravel()] = 0
             at = stop
-            last = np.where(down, values[n - stop], values[stop - 1]) * weight
-            upper, lower = known + unread @ last, known + unread @ worst
+            self.read += rows.size
+            upper, lower = known + unread @ values[:, at - 1], known + unread @ worst
             bar = np.partition(lower, n - k)[n - k] if n >= k else lower.min()
-            bar = bar if floor is None else max(bar, floor)
-            left = np.flatnonzero(upper >= bar)
-            if len(left) <= max(4 * k, n // 16):
+            left = np.flatnonzero(upper >= (bar if floor is None else max(bar, floor)))
+            if at == n or len(left) <= 2 * k:
                 return left, self.vectors[left] @ query
-        return np.arange(n), self.vectors @ query
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -93,44 +101,58 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     Components become floor(scale * x) and the score is their integer inner product; ties go to the smaller id.
     Vectors that are null or hold a null or a component that isn't finite take no part, neither do rows without
     an id; vectors of another length than the query's are no candidates.  Repeated rows are separate candidates,
-    except for the query's own id.  Fewer than k candidates give fewer rows; empty tables none.
+    except for the query's own id; of a query's rows the least vector asks.  Fewer than k candidates give fewer rows; empty tables none.
+    Components and scores that do not fit 64 bits raise an error.
     """
+    spark = vectors.sparkSession
+    bound_batches(spark)
 
     def clean(df: DataFrame) -> DataFrame:
         v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
         whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         return df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter(whole).select(
-            F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v")
+            F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")))).alias("v")
         )
 
-    # blocks of vectors spread over the slots; every slot gets every block of queries
-    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = _blocks(clean(queries), QUERIES).select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.col("d"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
-    dealt = _blocks(clean(vectors), BLOCK).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    meets = dealt.join(asked, ["slot", "d"]).select("d", "ids", "vectors", "q_ids", "q")
+    # keys: a share of the vectors, and a group of queries; every query meets every share once
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = clean(queries).groupBy("id").agg(F.min("v").alias("v"))
+    groups = max(1, -(-wanted.count() // GROUP))
+    share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
+    asked = _blocks(wanted, QUERIES).select(share, F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("grp"), "d", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
+    dealt = _blocks(clean(vectors), BLOCK).withColumn("share", F.pmod(F.xxhash64("ids", "vectors"), F.lit(shares)).cast("int"))
+    dealt = dealt.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    meets = dealt.join(asked, ["share", "grp", "d"]).select("grp", "d", "ids", "vectors", "q_ids", "q")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        lists, held = None, None
+        lists = held = group = None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if best:
+                sizes = [len(s) for _, s in best.values()]
+                columns = [np.repeat(np.array(list(best), np.int64), sizes), np.concatenate([i for i, _ in best.values()]), np.concatenate([s for _, s in best.values()])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+                best.clear()
+
         for batch in batches:
-            for d, ids, block, q_ids, q in zip(*map(pa.Array.to_pylist, batch.columns), strict=True):
-                if held != ids:
-                    lists, held = SortedLists(np.frombuffer(ids, np.int64), np.frombuffer(block, np.int64).reshape(-1, d)), ids
+            for row in range(batch.num_rows):
+                own, d, ids, block, q_ids, q = (c[row].as_py() for c in batch.columns)
+                if group != own:
+                    yield from found()
+                    group = own
+                if held != (ids, block):
+                    lists, held = SortedLists(np.frombuffer(ids, np.int64), np.frombuffer(block, np.int64).reshape(-1, d)), (ids, block)
                 for query_id, query in zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(q, np.int64).reshape(-1, d), strict=True):
                     old_ids, old = best.get(query_id, (np.empty(0, np.int64), np.empty(0, np.int64)))
-                    at, score = lists.search(query, k + 1, int(old[-1]) if len(old) == k else None)
-                    found, score = np.concatenate([old_ids, lists.ids[at]]), np.concatenate([old, score])
-                    other = found != query_id
-                    found, score = found[other], score[other]
-                    if len(score) > 4 * k:
-                        bar = np.partition(score, len(score) - k)[len(score) - k]
-                        found, score = found[score >= bar], score[score >= bar]
-                    order = np.lexsort((found, -score))[:k]
-                    best[query_id] = found[order], score[order]
-        if best:
-            sizes = [len(s) for _, s in best.values()]
-            columns = [np.repeat(np.array(list(best), np.int64), sizes), np.concatenate([i for i, _ in best.values()]), np.concatenate([s for _, s in best.values()])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+                    # the query's own rows, however many, take no place among the k
+                    at, score = lists.search(query, k + int(np.count_nonzero(lists.ids == query_id)), int(old[-1]) if len(old) == k else None)
+                    names, score = np.concatenate([old_ids, lists.ids[at]]), np.concatenate([old, score])
+                    other = names != query_id
+                    names, score = names[other], score[other]
+                    order = np.lexsort((names, -score))[:k]
+                    best[query_id] = names[order], score[order]
+        yield from found()
 
     near = meets.mapInArrow(search, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

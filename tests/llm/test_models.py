@@ -1,5 +1,6 @@
 """Language ID, toxicity, top-k and decontamination: nulls, repeats, clashing columns, brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -73,10 +74,83 @@ def test_correlated_voters_share_weight():
     y = r.random(4000) < 0.3
     one, two = (y & (r.random(4000) < 0.7)), (y & (r.random(4000) < 0.6)) | (r.random(4000) < 0.02)
     votes = np.stack([one, one, one, two], axis=1).astype(float)
-    noisy = np.where(r.random(4000) < 0.1, ~y, y).astype(int)
-    posterior, rates, weight = toxicity.label_model(votes, noisy)
-    assert ((posterior > 0.5) == y).mean() > 0.93 and rates[1, 0] > 0.5 > rates[0, 0]
-    assert weight[0] < 0.6 < weight[3]
+    noisy = np.where(r.random(4000) < 0.1, ~y, y)
+    posterior, rates, weight = toxicity.label_model(np.column_stack([votes, noisy]), np.where(noisy, 0.9, 0.1))
+    assert ((posterior > 0.5) == y).mean() > 0.95
+    assert np.allclose(rates[1], [0.7, 0.7, 0.7, 0.61, 0.9], atol=0.07) and np.allclose(rates[0], [0, 0, 0, 0.02, 0.1], atol=0.05)
+    assert np.allclose(weight[:3], 1 / 3, atol=0.1) and weight[3] > 0.7 and weight[4] > 0.7
+
+
+def test_plain_likelihood_ratio_and_patterns():
+    for t, c, nt, nc in ((5, 0, 11, 76), (2, 9, 11, 76), (11, 76, 11, 76), (3, 1, 50, 300)):
+        cells = [(t, nt, (t + c) / (nt + nc)), (c, nc, (t + c) / (nt + nc))]
+        want = 2 * sum(x * math.log(x / (n * s)) if x else 0 for seen, n, share in cells for x, s in ((seen, share), (n - seen, 1 - share)) if s)
+        got = toxicity.lean(np.array([float(t)]), np.array([float(c)]), nt, nc)[0]
+        assert math.isclose(got, want if t * nc > c * nt else 0, abs_tol=1e-6)
+    texts = [b"what an id*ot", b"noooooo", b"THIS IS ALL LOUD AND VERY LONG", b"a!! b?? c!!", b"", b"plain words"]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    got = toxicity._patterns(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert got[:, :4].tolist() == [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1], [0, 0, 0, 0], [0, 0, 0, 0]]
+
+
+def test_contradicting_labels_count_as_toxic(spark):
+    docs = spark.createDataFrame([(i, "scum it is" if i % 3 == 0 else "a green idea") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(0, 0), (3, None)], "doc_id long, toxic int")
+    got = docs.withColumn("f", toxicity.score(docs, toxicity.train(docs, labels))).collect()
+    assert all((x.f.score >= 0.5) == (x.doc_id % 3 == 0) for x in got)
+
+
+@pytest.mark.parametrize("sf, least", [("sf0.1", 0.9)])
+def test_recall_on_held_out_labels(spark, sf, least):
+    d = f"/root/testdata/{sf}"
+    got = registry.op3(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(x.toxic, x.predicted): x["count"] for x in got}
+    assert n[1, 1] >= least * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
+
+
+def test_mixtures_match_a_plain_computation():
+    r = np.random.default_rng(4)
+    likelihood = r.dirichlet(np.full(40, 0.3), 3).T
+    for share in ([1, 0, 0], [0.5, 0.5, 0], [0.2, 0.3, 0.5]):
+        counts = r.multinomial(3000, likelihood @ np.array(share)).astype(float)
+        own = [1 / 3] * 3
+        for _ in range(30):
+            total = [0.0] * 3
+            for c, p in zip(counts, likelihood, strict=True):
+                whole = sum(a * b for a, b in zip(own, p, strict=True))
+                total = [t + c * a * b / whole for t, a, b in zip(total, own, p, strict=True)]
+            own = [t / counts.sum() for t in total]
+        got, fit = language.mixture(counts, likelihood)
+        assert np.allclose(got, own, atol=2e-3)
+        assert math.isclose(fit, sum(c * math.log(sum(a * b for a, b in zip(own, p, strict=True))) for c, p in zip(counts, likelihood, strict=True)), rel_tol=1e-4)
+        # penalised likelihood over every set of languages chooses the same set
+        price = 5 * math.log(counts.sum())
+        sets = [s for k in (1, 2, 3) for s in itertools.combinations(range(3), k)]
+        best = max(sets, key=lambda s: language.mixture(counts, likelihood[:, list(s)])[1] - price * len(s))
+        assert set(language.infer(counts, likelihood, 5.0)) == set(best)
+
+
+def test_most_list_searches_stop_before_the_end(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.floor(1024 * np.array([r.embedding for r in rows], np.float64)).astype(np.int64)
+    lists = topk.SortedLists(np.arange(len(x)), x)
+    stopped = 0
+    for i in range(0, len(x), 100):
+        before = lists.read
+        at, score = lists.search(x[i], 11)
+        stopped += lists.read - before < x.size
+        exact = x @ x[i]
+        best = np.sort(exact)[::-1][:11]
+        assert np.array_equal(np.sort(score)[::-1][:11], best) and np.array_equal(exact[at], score)
+    assert stopped >= 0.9 * lists.searches and lists.read < 0.97 * lists.entries
+
+
+def test_scores_beyond_64_bits_are_loud(spark):
+    ok = spark.createDataFrame([(0, [2e6, 1.0]), (1, [1e6, 0.5]), (2, [3e9, 0.0])], "vec_id long, embedding array<double>")
+    assert topk.top_k(ok.limit(2), ok.filter("vec_id = 0")).collect()[0].score == 2048000000 * 1024000000 + 1024 * 512
+    for bad in (ok, ok.withColumn("embedding", F.expr("array(1e30, 0.0)"))):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(bad, bad.filter("vec_id < 3")).collect()
 
 
 def test_top_k_with_ties_nulls_and_bounds(spark, monkeypatch):
