@@ -1,6 +1,6 @@
 """Exact top-k search by no-random-access aggregation.
 
-Every dimension of a block of vectors is a sorted list.  For a query the lists are read sequentially, in equal steps
+Every dimension of a block of vectors is a sorted list.  For a query the lists are read sequentially, in steps
 from the end that its weight favours.  What a vector's read components give, plus for the unread ones the best (worst)
 value still possible in their lists, bounds its score from above (below).  Reading stops when no outsider's upper
 bound can reach the k-th lower bound, at the latest at the end of the lists, where the bounds meet; the final scores
@@ -24,7 +24,7 @@ from .common import bound_batches
 BLOCK = 2048  # vectors in a block
 QUERIES = 256  # queries in a block
 GROUP = 16_384  # queries whose best rows a task holds at once
-_STEPS = 16  # in which the lists are read
+_DEPTHS = (2, 4, *range(8, 17))  # sixteenths of the lists after which the bounds are looked at; never less than all at the end
 
 
 class SortedLists:
@@ -32,7 +32,7 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T.astype(np.int32))
         self.values = np.take_along_axis(vectors.T, self.order, axis=1)
         self.most = max(-int(vectors.min(initial=0)), int(vectors.max(initial=0)))
         self.searches = self.entries = self.read = 0  # list entries there were, and were read
@@ -52,25 +52,30 @@ class SortedLists:
         order = np.where(down, self.order[used, ::-1], self.order[used])
         values = np.where(down, self.values[used, ::-1], self.values[used]).astype(kind) * weight[:, None]  # descending
         worst = values[:, -1]
+        ends = np.stack([worst, worst], axis=1)  # of the lists as far as they are unread: best and worst value
         known, unread, at = np.zeros(n, kind), np.ones((n, len(used)), kind), 0
-        lists = np.repeat(np.arange(len(used)), -(-n // _STEPS)).reshape(len(used), -1)
+        lists = np.arange(len(used))[:, None]
         self.searches += 1
         self.entries += order.size
-        while True:
-            stop = min(n, at + lists.shape[1])
+        for depth in _DEPTHS:
+            stop = max(at, n * depth // 16)
+            if stop == at:
+                continue
             rows = order[:, at:stop]
             if kind is np.float64:
                 known += np.bincount(rows.ravel(), values[:, at:stop].ravel(), n)
             else:
                 np.add.at(known, rows.ravel(), values[:, at:stop].ravel())
-            unread[rows.ravel(), lists[:, : stop - at].ravel()] = 0
+            unread[rows, lists] = 0
             at = stop
             self.read += rows.size
-            upper, lower = known + unread @ values[:, at - 1], known + unread @ worst
+            ends[:, 0] = values[:, at - 1]
+            upper, lower = (known[:, None] + unread @ ends).T
             bar = np.partition(lower, n - k)[n - k] if n >= k else lower.min()
             left = np.flatnonzero(upper >= (bar if floor is None else max(bar, floor)))
-            if at == n or len(left) <= 2 * k:
-                return left, self.vectors[left] @ query
+            if len(left) <= 2 * k:
+                break
+        return left, self.vectors[left] @ query
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
