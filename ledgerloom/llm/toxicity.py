@@ -11,8 +11,8 @@
    weighted by the inverse of their matrix, so that voters which say the same count once.
 3. Classifier.  Logistic regression over the voters and two densities, on the label model's posteriors.
 
-Steps 2 and 3 run on votes of at most `fit_rows` training rows (a documented bound, those with the smallest hash of
-their id); everything else covers all rows.
+Steps 2 and 3 run on votes of at most `fit_rows` training rows, and `fit_cells` votes (a documented bound; the rows are
+those with the smallest hash of their id); everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -138,8 +138,11 @@ def lean(toxic, clean, n_toxic: int, n_clean: int, log=np.log):
 def _lexicon(rows: DataFrame, n_toxic: int, n_clean: int, doubt: float) -> np.ndarray:
     """Hashes of all lexicon voters: features with a lean over `doubt` times the logarithm of the number of features tried."""
     total = _sketch_counts(rows)
-    bound = doubt * np.log(max(2, int(np.count_nonzero(total.any(axis=0)))))
-    wanted = (total[1] >= _LEAST) & (lean(total[1].astype(float), total[0].astype(float), n_toxic, n_clean) > bound)
+    bound = doubt * np.log(max(2, int(np.count_nonzero(total[0] | total[1]))))
+    wanted, some = np.zeros(1 << _BITS, bool), np.flatnonzero(total[1] >= _LEAST)
+    for part in np.array_split(some, max(1, len(some) >> 18)):
+        wanted[part] = lean(total[1, part].astype(float), total[0, part].astype(float), n_toxic, n_clean) > bound
+    del total
     shared = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,30 +215,40 @@ def _patterns(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 N_PATTERNS, N_DENSITIES = 5, 2
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 50, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray, outside: int = 0, rounds: int = 50, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the hidden label for each row of votes (0 or 1), the voters' rates by label (clean, toxic), and their weights.
 
+    The last `outside` voters don't read the text; their evidence always counts in full.
     start holds first guesses of the posterior; no voter's accuracy is fixed.  A weight is what is left of a voter's evidence beside
     those that are correlated with it given the label: 1 for a voter on its own, a half for each of two that always agree.
     """
     n, v = votes.shape
     posterior = np.asarray(start, np.float64)
     rates, weight = np.zeros((2, v)), np.ones(v)
-    pairs = votes.T @ votes / n
+    votes = votes.astype(np.float32, copy=False)
+    pairs = votes.T @ votes
+    pairs /= n
     for turn in range(rounds):
         for k, p in enumerate((1 - posterior, posterior)):
-            rates[k] = (p @ votes + 0.1) / (p.sum() + 0.2)
+            rates[k] = (p.astype(votes.dtype) @ votes + 0.1) / (p.sum() + 0.2)
         rates = np.clip(rates, 1e-5, 1 - 1e-5)
         if turn % 8 == 0:  # correlations given the label
             share = posterior.mean()
-            cov = pairs - (1 - share) * np.outer(rates[0], rates[0]) - share * np.outer(rates[1], rates[1])
-            scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            corr = np.clip(cov / np.outer(scale, scale), 0, 1)
-            np.fill_diagonal(corr, 1)
-            weight = np.clip((1 + ridge) * np.linalg.solve(corr + ridge * np.eye(v), np.ones(v)), 0, 1)
+            corr = pairs.copy()  # single precision and in place: the matrix is as large as the square of the voters
+            for part, rate in zip((1 - share, share), rates.astype(np.float32), strict=True):
+                for at in range(0, v, 256):
+                    corr[at : at + 256] -= np.float32(part) * np.outer(rate[at : at + 256], rate)
+            scale = 1 / np.sqrt(np.maximum(np.diag(corr), 1e-9))
+            corr *= scale
+            corr *= scale[:, None]
+            np.clip(corr, 0, 1, out=corr)
+            np.fill_diagonal(corr, 1 + ridge)
+            weight = np.clip((1 + ridge) * np.linalg.solve(corr, np.ones(v, np.float32)), 0, 1).astype(np.float64)
+            weight[v - outside :] = 1
+            del corr
         fire, hold = weight * np.log(rates[1] / rates[0]), weight * np.log((1 - rates[1]) / (1 - rates[0]))
         balance = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
-        logit = np.log(balance / (1 - balance)) + votes @ (fire - hold) + hold.sum()
+        logit = np.log(balance / (1 - balance)) + votes @ (fire - hold).astype(votes.dtype) + hold.sum()
         new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
         moved, posterior = np.abs(new - posterior).max(), new
         if moved < 1e-5 and turn > 8:
@@ -248,10 +261,10 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
     w, b = np.zeros(x.shape[1] + 1), np.append(np.full(x.shape[1], ridge), 1e-3)
 
     def forward(v: np.ndarray) -> np.ndarray:
-        return x @ v[:-1] + v[-1]
+        return x @ v[:-1].astype(x.dtype) + v[-1]
 
     def back(r: np.ndarray) -> np.ndarray:
-        return np.append(r @ x, r.sum())
+        return np.append(r.astype(x.dtype) @ x, r.sum())
 
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(forward(w), -40, 40)))
@@ -259,7 +272,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
         step, left = np.zeros_like(w), grad.copy()
         way, size = left.copy(), left @ left
         for _ in range(200):
-            if size < 1e-10 * (grad @ grad) or size == 0:
+            if size < 1e-8 * (grad @ grad) or size == 0:
                 break
             bent = back(curve * forward(way)) + b * way
             at = size / (way @ bent)
@@ -268,12 +281,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 40)
             size, old = left @ left, size
             way = left + size / old * way
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w[:-1], float(w[-1])
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", doubt: float = 1.0, fit_rows: int = 20_000) -> ToxicityModel:
+def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", doubt: float = 1.5, fit_rows: int = 20_000, fit_cells: int = 16_000_000) -> ToxicityModel:
     """Learn from the documents that labels (id_col, toxic) marks 0 or 1.
 
     Null texts and labels don't count; a document that is marked both is toxic.  Without a toxic and a clean row the
@@ -297,15 +310,18 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([s for _, s in found], pa.list_(pa.float64())), batch.column(2)], names=["at", "fired", "seen", "toxic"])
 
     cast = rows.mapInArrow(vote, "at long, fired array<int>, seen array<double>, toxic int")
-    sample = cast.orderBy("at").limit(fit_rows).collect()
-    x = np.zeros((len(sample), len(features) + N_PATTERNS + N_DENSITIES), np.float32)
-    for i, r in enumerate(sample):
-        x[i, r.fired] = 1
-        x[i, len(features) :] = r.seen
-    given = np.array([r.toxic > 0 for r in sample], np.float32)
-    posterior, _, _ = label_model(np.column_stack([x[:, :-N_DENSITIES], given]), np.where(given > 0, 0.9, 0.1))
+    voters = len(features) + N_PATTERNS
+    sample = cast.orderBy("at").limit(max(1, min(fit_rows, fit_cells // (voters + N_DENSITIES)))).toArrow().combine_chunks()
+    x = np.zeros((len(sample), voters + 1 + N_DENSITIES), np.float32)  # voters, the given label, densities
+    fired, seen = (sample.column(c).combine_chunks() for c in ("fired", "seen"))
+    x[np.repeat(np.arange(len(x)), fired.value_lengths().to_numpy()), fired.flatten().to_numpy()] = 1
+    seen = seen.flatten().to_numpy().reshape(len(x), -1)
+    x[:, len(features) : voters], x[:, voters + 1 :] = seen[:, :N_PATTERNS], seen[:, N_PATTERNS:]
+    x[:, voters] = sample.column("toxic").to_numpy() > 0
+    posterior, _, _ = label_model(x[:, : voters + 1], np.where(x[:, voters] > 0, 0.99, 0.01), outside=1)
+    x[:, voters] = 0  # no input of the classifier
     weights, bias = logistic(x, posterior)
-    return ToxicityModel(features, weights, bias, _sieve(features))
+    return ToxicityModel(features, np.delete(weights, voters), bias, _sieve(features))
 
 
 def score(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
