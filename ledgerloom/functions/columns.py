@@ -26,7 +26,8 @@ def retry_delay_ms(job_id: Column, backoff_ms: Column, attempts: Column) -> Colu
     total = F.aggregate(byte, F.lit(0).cast("long"), lambda s, b: s + b)
     total = F.when(F.octet_length(job_id.cast("binary")) > 0, total).otherwise(0)
     scale = 91 + ((total + attempts) % 256) % 20
-    return F.floor(backoff_ms * F.greatest(attempts, F.lit(1)) * scale / 100).cast("long")
+    scaled = backoff_ms.cast("long") * F.greatest(attempts, F.lit(1)) * scale
+    return F.call_function("div", scaled, F.lit(100).cast("long"))
 
 
 def counter_value(value: Column) -> Column:

@@ -7,7 +7,10 @@ bare * counts as unrestricted there.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +47,7 @@ class Cron:
     weekdays: frozenset[int]
     any_day: bool
     any_weekday: bool
+    text: str = ""
 
     @classmethod
     def parse(cls, text: str) -> Cron:
@@ -51,7 +55,7 @@ class Cron:
         if len(fields) != 5:
             raise ValueError(f"five fields are needed: {text!r}")
         sets = [_field(f, *b) for f, b in zip(fields, _BOUNDS, strict=True)]
-        return cls(*sets, fields[2] == "*", fields[4] == "*")
+        return cls(*sets, fields[2] == "*", fields[4] == "*", text)
 
     def on_day(self, day: Column) -> Column:
         """Whether the date of a timestamp fits."""
@@ -66,12 +70,55 @@ class Cron:
         """Whether a timestamp's minute fits; the session's zone has to be UTC."""
         return self.on_day(at) & F.hour(at).isin(*self.hours) & F.minute(at).isin(*self.minutes)
 
-    def next_after(self, at: Column, days: int = HORIZON_DAYS) -> Column:
-        """The first matching minute strictly after a timestamp, null beyond the horizon of that many days.
+    def _fits(self, days: np.ndarray) -> np.ndarray:
+        """Which of these days (since 1970) fit."""
+        dates = days.astype("datetime64[D]")
+        months = dates.astype("datetime64[M]")
+        month, date, week = months.astype(np.int64) % 12 + 1, (dates - months).astype(np.int64) + 1, (days + 4) % 7
+        by_date, by_week = np.isin(date, list(self.days)), np.isin(week, list(self.weekdays))
+        fits = by_date & by_week if self.any_day or self.any_weekday else by_date | by_week
+        return fits & np.isin(month, list(self.months))
+
+    def next_minutes(self, minutes: np.ndarray, days: int = HORIZON_DAYS) -> np.ndarray:
+        """The first fitting minute (since 1970) strictly after each given one; -1 if none comes within `days` days.
 
-        Dates are searched first, then the times of the two nearest fitting dates.
+        The fitting days of the whole span and the fitting times of a day are listed once and searched.
         """
-        times = F.array(*[F.lit(60 * h + m) for h in sorted(self.hours) for m in sorted(self.minutes)])
-        day = F.filter(F.sequence(F.to_date(at), F.date_add(F.to_date(at), days), F.expr("interval 1 day")), lambda d: self.on_day(d))
-        stamps = F.flatten(F.transform(F.slice(day, 1, 2), lambda d: F.transform(times, lambda t: F.timestamp_seconds(F.unix_date(d) * 86400 + t * 60))))
-        return F.array_min(F.filter(stamps, lambda s: s > at))
+        day, time = np.divmod(minutes, 1440)
+        times = np.array([60 * h + m for h in sorted(self.hours) for m in sorted(self.minutes)])
+        span = np.arange(day.min(), day.max() + days + 1) if len(day) else day
+        fitting = span[self._fits(span)]
+        here = np.searchsorted(fitting, day)
+        today = np.append(fitting, -1)[here] == day
+        slot = np.searchsorted(times, time, "right")
+        later = ~today | (slot == len(times))
+        here = here + (today & later)
+        found = np.append(fitting, -1)[np.minimum(here, len(fitting))]
+        out = found * 1440 + np.where(later, times[0], times[np.minimum(slot, len(times) - 1)])
+        return np.where((here < len(fitting)) & (found <= day + days), out, -1)
+
+    def next_after(self, at: Column, days: int = HORIZON_DAYS) -> Column:
+        """The first matching minute strictly after a timestamp, null beyond the horizon of that many days."""
+        return F.timestamp_millis(next_fire_ms(F.lit(self.text), F.unix_millis(at.cast("timestamp")), days))
+
+
+@lru_cache(maxsize=1024)
+def _parsed(text: str) -> Cron:
+    return Cron.parse(text)
+
+
+def next_fire_ms(expression: Column, at_ms: Column, days: int = HORIZON_DAYS) -> Column:
+    """The first time (ms) strictly after at_ms that fits each row's own expression, null if there is none within `days` days."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array, at: pa.Array) -> pa.Array:
+        ms = at.to_numpy(zero_copy_only=False)
+        known = at.is_valid().to_numpy(zero_copy_only=False) & texts.is_valid().to_numpy(zero_copy_only=False)
+        names, out = np.array(texts.to_pylist(), object), np.full(len(ms), -1, np.int64)
+        for name in set(names[known]):
+            own = np.flatnonzero(known & (names == name))
+            found = _parsed(name).next_minutes(ms[own].astype(np.int64) // 60_000, days)
+            out[own] = np.where(found < 0, -1, found * 60_000)
+        return pa.array(out, mask=out < 0)
+
+    return run(expression, at_ms)

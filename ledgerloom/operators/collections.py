@@ -91,6 +91,58 @@ def delete(records: DataFrame, keys: DataFrame) -> DataFrame:
     return records.join(keys.select("pk"), "pk", "left_anti")
 
 
+def upsert_indexed(records: DataFrame, index: DataFrame, incoming: DataFrame, entries: DataFrame, unique: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Records and index after one transaction that upserts incoming rows with their entries (idx, idx_value, pk).
+
+    All old entries of an upserted record go, whatever index they belong to.  A null or empty key, or a unique
+    value that another record owns, raises and nothing changes.
+    """
+    if not incoming.filter(F.col("pk").isNull() | (F.col("pk").cast("string") == "")).isEmpty():
+        raise ValueError("empty primary key")
+    clash = upsert_conflicts(index, entries, unique).take(1)
+    if clash:
+        raise ValueError(f"unique index {clash[0].idx}: {clash[0].idx_value} belongs to {clash[0].owner}")
+    kept = index.join(incoming.select("pk").distinct(), "pk", "left_anti").select("idx", "idx_value", "pk")
+    return upsert(records, incoming), kept.unionByName(entries.select("idx", "idx_value", "pk"))
+
+
+def delete_indexed(records: DataFrame, index: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and index without the deleted keys and all their entries."""
+    return delete(records, keys), index.join(keys.select("pk"), "pk", "left_anti").select("idx", "idx_value", "pk")
+
+
+def migrate_schema(definitions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Compare-and-set of schema versions: definitions (name, version), requests (name, expected, next), one for a name.
+
+    outcome: migrated, conflict (another version is current; looked at first), invalid (next isn't larger), not_found; version afterwards.
+    """
+    row = requests.join(definitions, "name", "left")
+    outcome = (
+        F.when(F.col("version").isNull(), "not_found").when(F.col("version") != F.col("expected"), "conflict")
+        .when(F.col("next") <= F.col("expected"), "invalid").otherwise("migrated")
+    )
+    return row.select("name", outcome.alias("outcome"), F.when(outcome == "migrated", F.col("next")).otherwise(F.col("version")).alias("version"))
+
+
+def migrate_collection(records: DataFrame, index: DataFrame, version: int, expected: int, following: int, transform, entries=None, batch_size: int = 100, dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records, index and a one-row report of a data migration from schema `expected` to `following`.
+
+    transform maps the column v; entries (optional) maps the migrated records to their new index entries, which
+    replace the old ones.  Another current version raises.  A dry run reports and changes nothing.
+    """
+    if expected < 1 or following <= expected or batch_size < 1:
+        raise ValueError("versions must rise from 1 and batches hold a record")
+    if version != expected:
+        raise ValueError(f"expected schema {expected}, found {version}")
+    n = F.count("*")
+    batches = F.lit(0).cast("long") if dry_run else F.ceil(n / batch_size)
+    report = records.agg(n.alias("records_seen"), n.alias("records_migrated"), batches.alias("batches_committed"), F.lit(dry_run).alias("dry_run"), F.lit(version if dry_run else following).alias("version"))
+    if dry_run:
+        return records, index, report
+    moved = migrate(records, transform)
+    return moved, index if entries is None else entries(moved), report
+
+
 def migration_steps(history: DataFrame) -> DataFrame:
     """Migrations (name, from_version, to_version) in order, each with whether it continues the one before."""
     before = F.lag("to_version").over(Window.partitionBy("name").orderBy("from_version", "to_version"))

@@ -10,42 +10,46 @@ from ledgerloom.functions.columns import retry_delay_ms
 STATES = ("ready", "leased", "completed", "dead", "cancelled")
 
 
-def eligible(now_ms: int) -> Column:
-    return ((F.col("state") == "ready") & (F.col("available_at_ms") <= now_ms)) | ((F.col("state") == "leased") & (F.col("lease_until_ms") <= now_ms))
+def reclaimable(now_ms: int) -> Column:
+    return (F.col("state") == "ready") | ((F.col("state") == "leased") & (F.col("lease_until_ms") <= now_ms))
 
 
 def past_deadline(now_ms: int) -> Column:
     return F.coalesce(F.col("deadline_ms") <= now_ms, F.lit(False))
 
 
-def expired(jobs: DataFrame, now_ms: int) -> DataFrame:
-    """Claimable jobs whose deadline has come; a claim turns them dead with the detail `deadline exceeded`."""
-    return jobs.filter(eligible(now_ms) & past_deadline(now_ms)).withColumns({"state": F.lit("dead"), "detail": F.lit("deadline exceeded")})
+def _wanted(jobs: DataFrame, handlers: list[str] | None) -> DataFrame:
+    return jobs.filter(F.col("handler").isin(handlers)) if handlers else jobs
 
 
-def claim(jobs: DataFrame, now_ms: int, lease_ms: int, handlers: list[str] | None = None) -> DataFrame:
-    """The row that one claim by a worker of each handler writes.
+def expired(jobs: DataFrame, now_ms: int, handlers: list[str] | None = None) -> DataFrame:
+    """What a claim does besides: ready jobs, available or not, and run-out leases past their deadline turn dead."""
+    rows = _wanted(jobs, handlers).filter(reclaimable(now_ms) & past_deadline(now_ms))
+    return rows.withColumns({"state": F.lit("dead"), "lease_until_ms": F.lit(0).cast("long"), "detail": F.lit("deadline exceeded")})
 
-    Highest priority, then earliest available, then lowest id.  A chosen job whose attempts are used up
-    turns dead instead, and that claim returns nothing (claimed is false) even if others wait.
+
+def claim(jobs: DataFrame, now_ms: int, lease_ms: int, handlers: list[str] | None = None, claims: int = 1) -> DataFrame:
+    """The rows that `claims` claims in a row write, each over all handlers of the list (none: all).
+
+    Highest priority, then earliest available, then lowest id.  A chosen job whose attempts are used up turns dead,
+    and that claim returns nothing (claimed is false) even if others wait.
     """
-    rows = jobs.filter(eligible(now_ms) & ~past_deadline(now_ms))
-    if handlers:
-        rows = rows.filter(F.col("handler").isin(handlers))
-    best = F.row_number().over(Window.partitionBy("handler").orderBy(F.desc("priority"), "available_at_ms", "id"))
+    open_ = (F.col("state") == "leased") | (F.col("available_at_ms") <= now_ms)
+    rows = _wanted(jobs, handlers).filter(reclaimable(now_ms) & ~past_deadline(now_ms) & open_)
     live = F.col("attempts") + 1 <= F.col("max_attempts")
-    return rows.withColumn("_r", best).filter("_r = 1").drop("_r").withColumns({
-        "claimed": live, "state": F.when(live, "leased").otherwise("dead"),
-        "attempts": F.when(live, F.col("attempts") + 1).otherwise(F.col("attempts")),
-        "lease_until_ms": F.when(live, F.lit(now_ms + lease_ms)).otherwise(F.col("lease_until_ms")),
+    return rows.orderBy(F.desc("priority"), "available_at_ms", "id").limit(claims).withColumns({
+        "claimed": live, "state": F.when(live, "leased").otherwise("dead"), "attempts": F.col("attempts") + 1,
+        "lease_until_ms": F.when(live, F.lit(now_ms + lease_ms)).otherwise(F.lit(0)).cast("long"),
+        "detail": F.when(~live, "max attempts exceeded"),
     })
 
 
 def reap(jobs: DataFrame, now_ms: int) -> DataFrame:
-    """Leases that have run out: dead if no attempt is left, else ready again.  Deadlines are not looked at."""
+    """Leases that have run out: dead if no attempt is left, else ready from now on.  Deadlines are not looked at."""
     spent = F.col("attempts") >= F.col("max_attempts")
     return jobs.filter((F.col("state") == "leased") & (F.col("lease_until_ms") <= now_ms)).withColumns({
-        "state": F.when(spent, "dead").otherwise("ready"),
+        "state": F.when(spent, "dead").otherwise("ready"), "lease_until_ms": F.lit(0).cast("long"),
+        "available_at_ms": F.when(spent, F.col("available_at_ms")).otherwise(F.lit(now_ms)),
         "detail": F.when(spent, "lease expired: max attempts exhausted").otherwise("lease expired"),
     })
 
@@ -55,7 +59,7 @@ def fail(jobs: DataFrame, now_ms: int) -> DataFrame:
     spent = F.col("attempts") >= F.col("max_attempts")
     delay = retry_delay_ms(F.col("id"), F.col("retry_backoff_ms"), F.col("attempts"))
     return jobs.filter("state = 'leased'").withColumns({
-        "state": F.when(spent, "dead").otherwise("ready"),
+        "state": F.when(spent, "dead").otherwise("ready"), "lease_until_ms": F.lit(0).cast("long"),
         "available_at_ms": F.when(spent, F.col("available_at_ms")).otherwise(F.lit(now_ms) + delay),
     })
 
@@ -68,7 +72,7 @@ def settle(jobs: DataFrame, commands: DataFrame, now_ms: int) -> DataFrame:
     """Apply worker and operator commands (id, command, generation, until_ms), at most one for a job: the jobs afterwards.
 
     complete, release, heartbeat and fail need a lease of that generation; retry takes dead jobs, cancel ready
-    and leased ones; anything else changes nothing.
+    and leased ones; anything else changes nothing.  All that end a lease set it to 0.
     """
     own = commands.select("id", F.col("command").alias("_c"), F.col("generation").alias("_g"), F.col("until_ms").alias("_until"))
     row = jobs.join(own, "id", "left")
@@ -86,9 +90,11 @@ def settle(jobs: DataFrame, commands: DataFrame, now_ms: int) -> DataFrame:
         .when(revive, "ready").when(command("cancel") & F.col("state").isin("ready", "leased"), "cancelled").otherwise(F.col("state"))
     )
     available = F.when(held & command("release") | revive, F.lit(now_ms)).when(held & command("fail") & ~spent, F.lit(now_ms) + delay).otherwise(F.col("available_at_ms"))
+    stop = F.col("_c").isin("cancel") & F.col("state").isin("ready", "leased") | held & F.col("_c").isin("complete", "release", "fail") | revive
+    until = F.when(held & command("heartbeat"), F.col("_until")).when(F.coalesce(stop, F.lit(False)), F.lit(0)).otherwise(F.col("lease_until_ms")).cast("long")
     return row.select(*[
         {"state": state.alias("state"), "available_at_ms": available.alias("available_at_ms"),
-         "lease_until_ms": F.when(held & command("heartbeat"), F.col("_until")).otherwise(F.col("lease_until_ms")).alias("lease_until_ms"),
+         "lease_until_ms": until.alias("lease_until_ms"),
          "attempts": F.when(revive, F.lit(0)).otherwise(F.col("attempts")).alias("attempts")}.get(c, F.col(c)) for c in jobs.columns
     ])
 

@@ -26,6 +26,11 @@ def cursors(acks: DataFrame) -> DataFrame:
     return acks.groupBy("stream", "subscription").agg((F.max("acked_through") + 1).alias("next_offset"))
 
 
+def reset(subscriptions: DataFrame, resets: DataFrame) -> DataFrame:
+    """Cursors (stream, subscription, next_offset) after resets of the same columns, which may also go back, or name new ones."""
+    return subscriptions.join(resets, ["stream", "subscription"], "left_anti").unionByName(resets)
+
+
 def poll(entries: DataFrame, subscriptions: DataFrame, limit: int) -> DataFrame:
     """The next entries of every subscription (stream, subscription, next_offset); cursors don't move.
 

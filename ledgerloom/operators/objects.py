@@ -40,12 +40,29 @@ def orphans(objects: DataFrame, refs: DataFrame, limit: int | None = None) -> Da
     return rows if limit is None else rows.orderBy("object_id").limit(limit)
 
 
-def retention(objects: DataFrame, refs: DataFrame, now_s: int) -> DataFrame:
-    """One row of a retention sweep: scanned, expired, referenced (kept), removed."""
+def gc_report(objects: DataFrame, refs: DataFrame, limit: int) -> DataFrame:
+    """One row of an orphan sweep: scanned, referenced (different ids that references name), removed (at most limit)."""
+    named = refs.select("object_id").distinct()
+    alone = objects.join(named.withColumn("named", F.lit(1)), "object_id", "left").agg(F.count("*").alias("scanned"), F.count_if(F.col("named").isNull()).alias("alone"))
+    both = alone.withColumn("k", F.lit(1)).join(named.agg(F.count("*").alias("referenced")).withColumn("k", F.lit(1)), "k")
+    return both.select("scanned", "referenced", F.least("alone", F.lit(limit)).alias("removed"))
+
+
+def chunk(contents: DataFrame, content: str, offset: int, limit: int) -> DataFrame:
+    """Bytes [offset, offset + limit) of each content; beyond its end, nothing."""
+    return contents.withColumn(content, F.substring(F.col(content).cast("binary"), offset + 1, limit))
+
+
+def retention(objects: DataFrame, refs: DataFrame, now_s: int, limit: int = 0) -> DataFrame:
+    """One row of a retention sweep: scanned, expired, referenced (kept), removed (at most limit, unless it is 0).
+
+    An expiry that is text has to be a whole number: anything else raises.
+    """
+    objects = objects.withColumn("expires_at_unix", F.col("expires_at_unix").cast("long"))
     named = refs.select("object_id").distinct().withColumn("named", F.lit(1))
     rows = objects.join(named, "object_id", "left")
     old = F.col("expires_at_unix") <= now_s
     return rows.agg(
         F.count("*").alias("scanned"), F.count_if(old).alias("expired"),
         F.count_if(old & F.col("named").isNotNull()).alias("referenced"), F.count_if(old & F.col("named").isNull()).alias("removed"),
-    )
+    ).withColumn("removed", F.least("removed", F.lit(limit if limit else 2**62)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.cron import HORIZON_DAYS, Cron
+from ledgerloom.functions.cron import HORIZON_DAYS, Cron, next_fire_ms
 
 
 def tick(schedules: DataFrame, now_ms: int, limit: int) -> DataFrame:
@@ -31,18 +31,18 @@ def cron_next(events: DataFrame, expression: str, at: str = "ts", days: int = HO
     return events.withColumn("next_fire", Cron.parse(expression).next_after(F.col(at), days))
 
 
-def cron_tick(schedules: DataFrame, expression: str, now_ms: int, limit: int) -> DataFrame:
-    """Due cron schedules that share an expression: one occurrence each per tick, so missed ones are caught up.
+def cron_tick(schedules: DataFrame, now_ms: int, limit: int) -> DataFrame:
+    """Due cron schedules, each with its own expression: one occurrence each per tick, so missed ones are caught up.
 
     The next time follows the scheduled one, not now.
     """
     due = schedules.filter(F.col("enabled") & (F.col("next_run_ms") <= now_ms)).orderBy("id").limit(limit)
-    step = F.unix_millis(Cron.parse(expression).next_after(F.timestamp_millis("next_run_ms")))
-    return due.select("id", F.col("next_run_ms").alias("fired_at_ms"), step.alias("next_run_ms"), (F.col("fire_count") + 1).alias("fire_count"))
+    step = next_fire_ms(F.col("expression"), F.col("next_run_ms"))
+    return due.select("id", F.col("next_run_ms").alias("fired_at_ms"), step.alias("next_run_ms"), (F.col("fire_count") + 1).alias("fire_count"), F.col("next_run_ms").alias("last_fired_at_ms"))
 
 
 def fire(triggers: DataFrame, events: DataFrame, now_ms: int) -> DataFrame:
-    """Explicit firings (trigger, payload) of enabled triggers (name, template, enabled, fire_count): payload, and the counters afterwards.
+    """Explicit firings (trigger, payload) of enabled triggers (name, template, enabled): the jobs' payloads.
 
     An empty payload leaves the template's; a disabled trigger gives no row.
     """
@@ -51,6 +51,14 @@ def fire(triggers: DataFrame, events: DataFrame, now_ms: int) -> DataFrame:
     return hit.select("name", payload.alias("payload"), F.lit(now_ms).cast("long").alias("fired_at_ms"))
 
 
+def after_fire(triggers: DataFrame, events: DataFrame, now_ms: int) -> DataFrame:
+    """Triggers (name, enabled, fire_count, last_fired_at_ms) after these firings; disabled ones don't count."""
+    sent = events.groupBy(F.col("trigger").alias("name")).agg(F.count("*").alias("_n"))
+    row = triggers.join(sent, "name", "left")
+    hit = F.col("enabled") & F.col("_n").isNotNull()
+    return row.select("name", "enabled", (F.col("fire_count") + F.when(hit, F.col("_n")).otherwise(0)).alias("fire_count"), F.when(hit, F.lit(now_ms)).otherwise(F.col("last_fired_at_ms")).cast("long").alias("last_fired_at_ms"))
+
+
 def match_changes(changes: DataFrame, triggers: DataFrame) -> DataFrame:
     """An opt-in extension: changes (source, name, k) that enabled triggers (source, name, trigger) listen to."""
     return changes.join(triggers.filter("enabled").select("source", "name", "trigger"), ["source", "name"])

@@ -28,3 +28,15 @@ def purge_report(expiries: DataFrame, state: DataFrame, now_ms: int, limit: int)
     gone = purge(expiries, now_ms, limit).join(state.select("k", F.lit(1).alias("there")), "k", "left")
     counts = gone.agg(F.count("*").alias("expired"), F.count("there").alias("removed"))
     return expiries.agg(F.count("*").alias("scanned")).join(counts)
+
+
+def put_with_ttl(kv: DataFrame, puts: DataFrame) -> DataFrame:
+    """kv (k, v, expires_at_ms) after puts of the same columns, one for a key: value and expiry are replaced together."""
+    return kv.join(puts.select("k"), "k", "left_anti").unionByName(puts)
+
+
+def clear_ttl(kv: DataFrame, keys: DataFrame) -> DataFrame:
+    """kv without the expiries of these keys; values stay.  cleared: whether there was one."""
+    marked = kv.join(keys.select("k", F.lit(True).alias("_hit")), "k", "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    return marked.select("k", "v", F.when(~hit, F.col("expires_at_ms")).alias("expires_at_ms"), (hit & F.col("expires_at_ms").isNotNull()).alias("cleared"))

@@ -156,7 +156,7 @@ def namespace_stats(spark, d):
 after_ AS (SELECT k, v FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY sequence DESC) AS rn FROM both_) WHERE rn = 1 AND kind = 'PUT')
 SELECT 'user' AS ns, CAST(sum(strlen(v)) AS BIGINT) AS value_bytes, CAST(100 AS BIGINT) AS max_bytes FROM after_ HAVING sum(strlen(v)) > 100""")
 def namespace_over_quota(spark, d):
-    limits = table(spark, d, "region").limit(1).select(F.lit("user").alias("ns"), F.lit(100).cast("long").alias("max_bytes"))
+    limits = spark.createDataFrame([("user", 100)], "ns string, max_bytes long")
     return log.over_quota(log.replay(*_log(spark, d)), _staged(spark, d), limits)
 
 
@@ -217,13 +217,9 @@ def upsert_conflicts(spark, d):
     return collections.upsert_conflicts(index, incoming, ["price"])
 
 
-@query("collection_scan_shortlex", _RECORDS, "SELECT CAST(pk AS VARCHAR) AS pk, v, row_number() OVER (ORDER BY strlen(CAST(pk AS VARCHAR)), CAST(pk AS VARCHAR)) AS place FROM records ORDER BY place LIMIT 2000")
+@query("collection_scan_shortlex", _RECORDS, "SELECT CAST(pk AS VARCHAR) AS pk, v FROM records")
 def collection_scan_shortlex(spark, d):
-    from pyspark.sql import Window
-
-    first = collections.scan(view(spark, d, "records").select(F.col("pk").cast("string").alias("pk"), "v")).limit(2000)
-    place = F.row_number().over(Window.orderBy(F.octet_length("pk"), "pk")).cast("long")  # of the 2000 rows on top
-    return first.withColumn("place", place)
+    return collections.scan(view(spark, d, "records").select(F.col("pk").cast("string").alias("pk"), "v"))
 
 
 @query("collection_upsert", _RECORDS, "SELECT pk, v, o_custkey FROM records WHERE pk % 10 <> 0 UNION ALL SELECT pk, 'new|' || v, o_custkey FROM records WHERE pk % 10 = 0")
@@ -232,6 +228,46 @@ def collection_upsert(spark, d):
     return collections.upsert(rows, rows.filter("pk % 10 = 0").withColumn("v", F.concat(F.lit("new|"), "v")))
 
 
+@query("collection_upsert_index", _RECORDS, """SELECT idx, idx_value, pk FROM record_index WHERE pk % 10 <> 0
+UNION ALL SELECT 'status' AS idx, 'new' AS idx_value, pk FROM records WHERE pk % 10 = 0 UNION ALL SELECT 'price', 'p' || CAST(pk AS VARCHAR), pk FROM records WHERE pk % 10 = 0""")
+def collection_upsert_index(spark, d):
+    rows, index = view(spark, d, "records"), view(spark, d, "record_index")
+    incoming = rows.filter("pk % 10 = 0").withColumn("v", F.concat(F.lit("new|"), "v"))
+    entries = incoming.select(F.lit("status").alias("idx"), F.lit("new").alias("idx_value"), "pk").unionByName(incoming.select(F.lit("price").alias("idx"), F.concat(F.lit("p"), F.col("pk").cast("string")).alias("idx_value"), "pk"))
+    return collections.upsert_indexed(rows, index, incoming, entries, ["price"])[1]
+
+
+@query("collection_delete_index", _RECORDS, "SELECT idx, idx_value, pk FROM record_index WHERE pk % 10 <> 3")
+def collection_delete_index(spark, d):
+    rows, index = view(spark, d, "records"), view(spark, d, "record_index")
+    return collections.delete_indexed(rows, index, rows.filter("pk % 10 = 3"))[1]
+
+
+@query("collection_migrate_index", _RECORDS, "SELECT 'state' AS idx, upper(split_part(v, '|', 1)) AS idx_value, pk FROM records")
+def collection_migrate_index(spark, d):
+    def entries(moved):
+        return moved.select(F.lit("state").alias("idx"), F.substring_index("v", "|", 1).alias("idx_value"), "pk")
+
+    return collections.migrate_collection(view(spark, d, "records"), view(spark, d, "record_index"), 2, 2, 3, F.upper, entries)[1]
+
+
+@query("collection_migrate_report", _RECORDS, "SELECT count(*) AS records_seen, count(*) AS records_migrated, (count(*) + 499) // 500 AS batches_committed, false AS dry_run, 3 AS version FROM records")
+def collection_migrate_report(spark, d):
+    return collections.migrate_collection(view(spark, d, "records"), view(spark, d, "record_index"), 2, 2, 3, F.upper, batch_size=500)[2]
+
+
+@query("schema_migrate", (), """WITH q AS (SELECT p_partkey AS name, p_size AS version, p_size + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS expected, p_size + p_partkey % 4 AS next FROM part WHERE p_partkey % 9 <> 0
+  UNION ALL SELECT -p_partkey - 1, NULL, 1, 2 FROM part WHERE p_partkey % 50 = 0)
+SELECT name, CASE WHEN version IS NULL THEN 'not_found' WHEN version <> expected THEN 'conflict' WHEN next <= expected THEN 'invalid' ELSE 'migrated' END AS outcome,
+       CASE WHEN version = expected AND next > expected THEN next ELSE version END AS version FROM q""")
+def schema_migrate(spark, d):
+    part = table(spark, d, "part")
+    defined = part.select(F.col("p_partkey").alias("name"), F.col("p_size").alias("version"))
+    asked = part.filter("p_partkey % 9 <> 0").selectExpr("p_partkey AS name", "p_size + IF(p_partkey % 3 = 0, 1, 0) AS expected", "p_size + p_partkey % 4 AS next")
+    unknown = part.filter("p_partkey % 50 = 0").selectExpr("-p_partkey - 1 AS name", "1 AS expected", "2 AS next")
+    return collections.migrate_schema(defined, asked.unionByName(unknown))
+
+
 @query("collection_migrate", _RECORDS, "SELECT pk, upper(v) AS v, o_custkey FROM records")
 def collection_migrate(spark, d):
     return collections.migrate(view(spark, d, "records"), F.upper)
@@ -301,7 +337,7 @@ def queue_purge_dead(spark, d):
 
 
 _JOBS = ("jobs",)
-_DELAY = "CAST(floor(retry_backoff_ms * greatest(attempts, 1) * (91 + ((list_sum(list_transform(range(1, 17), lambda i: ascii(substr(id, CAST(i AS BIGINT), 1)))) + attempts) % 256) % 20) / 100) AS BIGINT)"
+_DELAY = "CAST((retry_backoff_ms * greatest(attempts, 1) * (91 + ((list_sum(list_transform(range(1, 17), lambda i: ascii(substr(id, CAST(i AS BIGINT), 1)))) + attempts) % 256) % 20)) // 100 AS BIGINT)"
 
 
 @query("job_retry_delay", _JOBS, f"SELECT id, {_DELAY} AS delay_ms FROM jobs")
@@ -309,27 +345,33 @@ def job_retry_delay(spark, d):
     return jobs.retry_delays(view(spark, d, "jobs"))
 
 
-@query("job_claim", _JOBS, f"""SELECT id, handler, priority, attempts + 1 <= max_attempts AS claimed, CASE WHEN attempts + 1 <= max_attempts THEN 'leased' ELSE 'dead' END AS state,
-  CASE WHEN attempts + 1 <= max_attempts THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN attempts + 1 <= max_attempts THEN {ORDERS_NOW + 60000} ELSE lease_until_ms END AS lease_until_ms
-FROM (SELECT *, row_number() OVER (PARTITION BY handler ORDER BY priority DESC, available_at_ms, id) AS rn FROM jobs
-  WHERE {_ELIGIBLE.format(now=ORDERS_NOW)} AND NOT coalesce(deadline_ms <= {ORDERS_NOW}, false) AND handler IN ('1-URGENT', '2-HIGH', '5-LOW')) WHERE rn = 1""")
+_RECLAIMABLE = f"(state = 'ready' OR (state = 'leased' AND lease_until_ms <= {ORDERS_NOW}))"
+_HANDLERS = ["1-URGENT", "2-HIGH", "5-LOW"]
+
+
+@query("job_claim", _JOBS, f"""SELECT id, handler, priority, attempts < max_attempts AS claimed, CASE WHEN attempts < max_attempts THEN 'leased' ELSE 'dead' END AS state, attempts + 1 AS attempts,
+  CAST(CASE WHEN attempts < max_attempts THEN {ORDERS_NOW + 60000} ELSE 0 END AS BIGINT) AS lease_until_ms, CASE WHEN attempts >= max_attempts THEN 'max attempts exceeded' END AS detail
+FROM (SELECT * FROM jobs WHERE {_RECLAIMABLE} AND (state = 'leased' OR available_at_ms <= {ORDERS_NOW}) AND coalesce(deadline_ms > {ORDERS_NOW}, true) AND handler IN ('1-URGENT', '2-HIGH', '5-LOW')
+  ORDER BY priority DESC, available_at_ms, id LIMIT 60)""")
 def job_claim(spark, d):
-    return jobs.claim(view(spark, d, "jobs"), ORDERS_NOW, 60_000, ["1-URGENT", "2-HIGH", "5-LOW"]).select("id", "handler", "priority", "claimed", "state", "attempts", "lease_until_ms")
+    """Sixty claims in a row."""
+    return jobs.claim(view(spark, d, "jobs"), ORDERS_NOW, 60_000, _HANDLERS, claims=60).select("id", "handler", "priority", "claimed", "state", "attempts", "lease_until_ms", "detail")
 
 
-@query("job_deadline_dead", _JOBS, f"SELECT id, 'dead' AS state, 'deadline exceeded' AS detail FROM jobs WHERE {_ELIGIBLE.format(now=ORDERS_NOW)} AND deadline_ms <= {ORDERS_NOW}")
+@query("job_deadline_dead", _JOBS, f"SELECT id, 'dead' AS state, 0 AS lease_until_ms, 'deadline exceeded' AS detail FROM jobs WHERE {_RECLAIMABLE} AND deadline_ms <= {ORDERS_NOW}")
 def job_deadline_dead(spark, d):
-    return jobs.expired(view(spark, d, "jobs"), ORDERS_NOW).select("id", "state", "detail")
+    return jobs.expired(view(spark, d, "jobs"), ORDERS_NOW).select("id", "state", "lease_until_ms", "detail")
 
 
-@query("job_reap", _JOBS, f"SELECT id, CASE WHEN attempts >= max_attempts THEN 'dead' ELSE 'ready' END AS state, CASE WHEN attempts >= max_attempts THEN 'lease expired: max attempts exhausted' ELSE 'lease expired' END AS detail FROM jobs WHERE state = 'leased' AND lease_until_ms <= {ORDERS_NOW}")
+@query("job_reap", _JOBS, f"""SELECT id, CASE WHEN attempts >= max_attempts THEN 'dead' ELSE 'ready' END AS state, 0 AS lease_until_ms, CASE WHEN attempts >= max_attempts THEN available_at_ms ELSE {ORDERS_NOW} END AS available_at_ms,
+  CASE WHEN attempts >= max_attempts THEN 'lease expired: max attempts exhausted' ELSE 'lease expired' END AS detail FROM jobs WHERE state = 'leased' AND lease_until_ms <= {ORDERS_NOW}""")
 def job_reap(spark, d):
-    return jobs.reap(view(spark, d, "jobs"), ORDERS_NOW).select("id", "state", "detail")
+    return jobs.reap(view(spark, d, "jobs"), ORDERS_NOW).select("id", "state", "lease_until_ms", "available_at_ms", "detail")
 
 
-@query("job_fail", _JOBS, f"SELECT id, CASE WHEN attempts >= max_attempts THEN 'dead' ELSE 'ready' END AS state, CASE WHEN attempts >= max_attempts THEN available_at_ms ELSE {ORDERS_NOW} + {_DELAY} END AS available_at_ms FROM jobs WHERE state = 'leased'")
+@query("job_fail", _JOBS, f"SELECT id, CASE WHEN attempts >= max_attempts THEN 'dead' ELSE 'ready' END AS state, CASE WHEN attempts >= max_attempts THEN available_at_ms ELSE {ORDERS_NOW} + {_DELAY} END AS available_at_ms, 0 AS lease_until_ms FROM jobs WHERE state = 'leased'")
 def job_fail(spark, d):
-    return jobs.fail(view(spark, d, "jobs"), ORDERS_NOW).select("id", "state", "available_at_ms")
+    return jobs.fail(view(spark, d, "jobs"), ORDERS_NOW).select("id", "state", "available_at_ms", "lease_until_ms")
 
 
 @query("job_settle", _JOBS, f""", c AS (SELECT *, CASE CAST(id AS BIGINT) % 7 WHEN 0 THEN 'complete' WHEN 1 THEN 'fail' WHEN 2 THEN 'release' WHEN 3 THEN 'heartbeat' WHEN 4 THEN 'retry' WHEN 5 THEN 'cancel' END AS cmd FROM jobs)
@@ -337,7 +379,7 @@ SELECT id, CASE WHEN state = 'leased' AND cmd = 'complete' THEN 'completed' WHEN
   WHEN state = 'leased' AND cmd = 'fail' THEN 'ready' WHEN cmd = 'retry' AND state = 'dead' THEN 'ready' WHEN cmd = 'cancel' AND state IN ('ready', 'leased') THEN 'cancelled' ELSE state END AS state,
   CASE WHEN cmd = 'retry' AND state = 'dead' THEN 0 ELSE attempts END AS attempts,
   CASE WHEN (state = 'leased' AND cmd = 'release') OR (cmd = 'retry' AND state = 'dead') THEN {ORDERS_NOW} WHEN state = 'leased' AND cmd = 'fail' AND attempts < max_attempts THEN {ORDERS_NOW} + {_DELAY} ELSE available_at_ms END AS available_at_ms,
-  CASE WHEN state = 'leased' AND cmd = 'heartbeat' THEN {ORDERS_NOW + 5000} ELSE lease_until_ms END AS lease_until_ms FROM c""")
+  CASE WHEN state = 'leased' AND cmd = 'heartbeat' THEN {ORDERS_NOW + 5000} WHEN (state = 'leased' AND cmd IN ('complete', 'fail', 'release', 'cancel')) OR (state = 'ready' AND cmd = 'cancel') OR (state = 'dead' AND cmd = 'retry') THEN 0 ELSE lease_until_ms END AS lease_until_ms FROM c""")
 def job_settle(spark, d):
     rows = view(spark, d, "jobs")
     name = F.get(F.array(*map(F.lit, ["complete", "fail", "release", "heartbeat", "retry", "cancel"])), (F.col("id").cast("long") % 7).cast("int"))
@@ -353,9 +395,9 @@ def job_idempotent(spark, d):
     return jobs.submit(view(spark, d, "jobs"), specs)
 
 
-@query("job_list", _JOBS, "SELECT id, available_at_ms FROM jobs ORDER BY available_at_ms DESC, id DESC LIMIT 100")
+@query("job_list", _JOBS, "SELECT id, available_at_ms FROM jobs")
 def job_list(spark, d):
-    return jobs.listing(view(spark, d, "jobs")).select("id", "available_at_ms").limit(100)
+    return jobs.listing(view(spark, d, "jobs")).select("id", "available_at_ms")
 
 
 @query("job_stats", _JOBS, "SELECT " + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in jobs.STATES) + ", count(*) AS total FROM jobs")
@@ -397,6 +439,15 @@ def topic_poll(spark, d):
     return messaging.poll(view(spark, d, "stream_entries"), cursors, 5).select("stream", "subscription", "stream_offset", "payload")
 
 
+@query("subscription_reset", _STREAMS, """SELECT stream, subscription, CASE WHEN subscription = 'sub1' THEN 0 ELSE max(acked_through) + 1 END AS next_offset FROM subscription_acks GROUP BY stream, subscription
+UNION ALL SELECT DISTINCT stream, 'fresh', 9 FROM stream_entries""")
+def subscription_reset(spark, d):
+    cursors = messaging.cursors(view(spark, d, "subscription_acks"))
+    back = cursors.filter("subscription = 'sub1'").withColumn("next_offset", F.lit(0).cast("long"))
+    fresh = view(spark, d, "stream_entries").select("stream").distinct().select("stream", F.lit("fresh").alias("subscription"), F.lit(9).cast("long").alias("next_offset"))
+    return messaging.reset(cursors, back.unionByName(fresh))
+
+
 @query("cursor_regression", (), """SELECT event_id, acked_through, before FROM (
   SELECT event_id, CAST(floor(value) AS BIGINT) AS acked_through, max(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY event_type, user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
 WHERE acked_through < before""")
@@ -416,7 +467,25 @@ def _group_commands(spark, d):
     )
 
 
-@query("group_fold")
+_GROUP_SQL = """
+WITH RECURSIVE t AS (SELECT count(*) - 1 AS tail FROM conversations WHERE role = 'user'),
+c AS (
+  SELECT 'g' || CAST(user_id % 40 AS VARCHAR) AS grp, row_number() OVER (PARTITION BY user_id % 40 ORDER BY event_id) AS rn,
+         CASE WHEN event_id % 11 = 10 THEN 'reset' WHEN event_id % 3 = 0 THEN 'claim' WHEN event_id % 3 = 1 THEN 'ack' ELSE 'nack' END AS cmd,
+         'w' || CAST(event_id % 2 AS VARCHAR) AS consumer, epoch_us(ts) // 1000 AS now_ms, event_id % 4 AS gen, event_id % 3 AS off FROM events),
+r AS (
+  SELECT DISTINCT grp, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS nxt, CAST(NULL AS BIGINT) AS leased, CAST(0 AS BIGINT) AS until, CAST(0 AS BIGINT) AS generation, CAST(NULL AS VARCHAR) AS owner FROM c
+  UNION ALL
+  SELECT grp, rn, CASE WHEN acks THEN leased + 1 WHEN cmd = 'reset' THEN off ELSE nxt END, CASE WHEN takes THEN nxt WHEN frees THEN NULL ELSE leased END,
+         CASE WHEN takes THEN now_ms + 86400000 WHEN frees THEN 0 ELSE until END, generation + CASE WHEN takes THEN 1 ELSE 0 END, CASE WHEN takes THEN consumer WHEN frees THEN NULL ELSE owner END
+  FROM (SELECT *, cmd = 'ack' AND ours AS acks, cmd = 'claim' AND NOT busy AND nxt <= tail AS takes, (cmd = 'claim' AND NOT busy AND nxt > tail) OR (cmd IN ('ack', 'nack') AND ours) OR cmd = 'reset' AS frees
+    FROM (SELECT c.*, nxt, leased, until, generation, owner, tail, leased IS NOT NULL AND until > now_ms AS busy, coalesce(owner = consumer AND generation = gen AND leased = off, false) AS ours
+      FROM r JOIN c ON c.grp = r.grp AND c.rn = r.rn + 1, t)))
+SELECT 'user' AS stream, grp, nxt AS next_offset, leased AS leased_offset, until AS lease_until_ms, generation, owner
+FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rn DESC) AS k FROM r) WHERE k = 1"""
+
+
+@query("group_fold", (), _GROUP_SQL)
 def group_fold(spark, d):
     return messaging.group_fold(_group_commands(spark, d), messaging.tail(view(spark, d, "stream_entries")))
 
@@ -434,6 +503,36 @@ def rpc_expire(spark, d):
     return rpc.expire(view(spark, d, "rpc_requests"), view(spark, d, "rpc_responses"), STATE_NOW)
 
 
+@query("rpc_expire_limit", _RPC, f"SELECT tx_id, 'deadline exceeded' AS payload, CAST({STATE_NOW} AS BIGINT) AS completed_at_ms, true AS is_error FROM rpc_requests ANTI JOIN rpc_responses USING (tx_id) WHERE deadline_ms <= {STATE_NOW} ORDER BY tx_id LIMIT 25")
+def rpc_expire_limit(spark, d):
+    return rpc.expire(view(spark, d, "rpc_requests"), view(spark, d, "rpc_responses"), STATE_NOW, 25)
+
+
+@query("rpc_respond", _RPC, """, a AS (SELECT conv_id * 100 + turn AS answer_id, conv_id * 100 + turn - turn % 3 AS tx_id FROM conversations)
+SELECT answer_id, tx_id, CASE WHEN tx_id IN (SELECT tx_id FROM rpc_responses) THEN 'already_responded' WHEN tx_id NOT IN (SELECT tx_id FROM rpc_requests) THEN 'not_found'
+  WHEN row_number() OVER (PARTITION BY tx_id ORDER BY answer_id) > 1 THEN 'already_responded' ELSE 'responded' END AS outcome FROM a""")
+def rpc_respond(spark, d):
+    answers = table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), (F.col("conv_id") * 100 + F.col("turn") - F.col("turn") % 3).alias("tx_id"))
+    return rpc.respond(view(spark, d, "rpc_requests"), view(spark, d, "rpc_responses"), answers)
+
+
+@query("rpc_ack", _RPC, "SELECT tx_id, completed_at_ms FROM rpc_responses WHERE tx_id % 7 <> 0")
+def rpc_ack(spark, d):
+    rows = view(spark, d, "rpc_responses")
+    return rpc.ack(rows, rows.filter("tx_id % 7 = 0")).select("tx_id", "completed_at_ms")
+
+
+@query("outbox_ack", ("outbox",), "SELECT tx_id, seq_in_tx, topic FROM outbox WHERE NOT acked AND tx_id % 3 <> 0")
+def outbox_ack(spark, d):
+    rows = view(spark, d, "outbox")
+    return rpc.outbox_ack(rows, rows.filter("tx_id % 3 = 0")).select("tx_id", "seq_in_tx", "topic")
+
+
+@query("outbox_len", ("outbox",), "SELECT count(*) FILTER (NOT acked) AS n FROM outbox")
+def outbox_len(spark, d):
+    return rpc.outbox_len(view(spark, d, "outbox"))
+
+
 @query("rpc_roundtrip", _RPC, "SELECT q.tx_id, completed_at_ms - created_at_ms AS latency_ms, CAST(strlen(r.payload) AS BIGINT) AS response_bytes FROM rpc_requests q JOIN rpc_responses r ON q.tx_id = r.tx_id")
 def rpc_roundtrip(spark, d):
     return rpc.roundtrips(view(spark, d, "rpc_requests"), view(spark, d, "rpc_responses"))
@@ -452,9 +551,9 @@ def object_dedup(spark, d):
     return objects.deduplicate(table(spark, d, "documents"), "text", "doc_id")
 
 
-@query("object_chunks", (), "SELECT doc_id, i AS chunk, sha256(substr(text, i * 1000 + 1, 1000)) AS data_sha256 FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1000) AS BIGINT))) AS i FROM documents)")
+@query("object_chunks", (), "SELECT doc_id, i AS chunk, sha256(encode(text)[i * 1000 + 1 : i * 1000 + 1000]) AS data_sha256 FROM (SELECT doc_id, text, unnest(range(0, (strlen(text) + 999) // 1000)) AS i FROM documents)")
 def object_chunks(spark, d):
-    return objects.chunks(table(spark, d, "documents"), "doc_id", "text", 1000).select("doc_id", "chunk", F.sha2("data", 256).alias("data_sha256"))
+    return objects.chunks(table(spark, d, "documents").withColumn("text", F.col("text").cast("binary")), "doc_id", "text", 1000).select("doc_id", "chunk", F.sha2("data", 256).alias("data_sha256"))
 
 
 @query("object_refs_prefix", _OBJECTS, "SELECT name, object_id FROM object_refs WHERE namespace = 'src3' AND name LIKE '00000000%'")
@@ -473,9 +572,32 @@ def object_retention(spark, d):
     return objects.retention(view(spark, d, "objects"), view(spark, d, "object_refs"), 1_700_000_600)
 
 
+@query("object_chunk", (), "SELECT doc_id, sha256(encode(text)[101:350]) AS data_sha256 FROM documents")
+def object_chunk(spark, d):
+    return objects.chunk(table(spark, d, "documents"), "text", 100, 250).select("doc_id", F.sha2("text", 256).alias("data_sha256"))
+
+
+@query("object_gc_report", _OBJECTS, "SELECT (SELECT count(*) FROM objects) AS scanned, (SELECT count(DISTINCT object_id) FROM object_refs) AS referenced, least(50, (SELECT count(*) FROM objects ANTI JOIN object_refs USING (object_id))) AS removed")
+def object_gc_report(spark, d):
+    return objects.gc_report(view(spark, d, "objects"), view(spark, d, "object_refs"), 50)
+
+
 _TTL = ("ttl_kv",)
 
 
+@query("ttl_put", _TTL, """SELECT k, CASE WHEN CAST(substr(k, 9) AS BIGINT) % 6 = 0 THEN 'new:' || v ELSE v END AS v, CASE WHEN CAST(substr(k, 9) AS BIGINT) % 6 = 0 THEN 7 ELSE expires_at_ms END AS expires_at_ms FROM ttl_kv""")
+def ttl_put(spark, d):
+    kv = view(spark, d, "ttl_kv")
+    puts = kv.filter("CAST(substring(k, 9) AS BIGINT) % 6 = 0").select("k", F.concat(F.lit("new:"), "v").alias("v"), F.lit(7).cast("long").alias("expires_at_ms"))
+    return ttl.put_with_ttl(kv.withColumn("expires_at_ms", F.col("expires_at_ms").cast("long")), puts)
+
+
+@query("ttl_clear", _TTL, """SELECT k, v, CASE WHEN CAST(substr(k, 9) AS BIGINT) % 5 <> 0 THEN expires_at_ms END AS expires_at_ms, CAST(substr(k, 9) AS BIGINT) % 5 = 0 AND expires_at_ms IS NOT NULL AS cleared FROM ttl_kv""")
+def ttl_clear(spark, d):
+    kv = view(spark, d, "ttl_kv")
+    return ttl.clear_ttl(kv, kv.filter("CAST(substring(k, 9) AS BIGINT) % 5 = 0"))
+
+
 @query("ttl_visible", _TTL, f"SELECT k, v, expires_at_ms FROM ttl_kv WHERE expires_at_ms IS NULL OR expires_at_ms > {STATE_NOW}")
 def ttl_visible(spark, d):
     return ttl.visible(view(spark, d, "ttl_kv"), STATE_NOW)
@@ -524,7 +646,24 @@ def workflow_history_gaps(spark, d):
     return workflows.history_gaps(view(spark, d, "workflow_history").filter("(workflow_id + sequence) % 5 <> 0"))
 
 
-@query("workflow_fold")
+_FLOW_SQL = """
+WITH RECURSIVE c AS (
+  SELECT conv_id AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, turn * 10 AS at_ms, sha256(text) AS payload,
+         ['create', 'wait_signal', 'signal', 'set_step', 'wait_until', 'resume', 'complete', 'cancel'][turn + 1] AS cmd FROM conversations),
+r AS (
+  SELECT DISTINCT id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS step, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS signal, CAST(NULL AS BIGINT) AS resume_at_ms, CAST(0 AS BIGINT) AS events FROM c
+  UNION ALL
+  SELECT id, rn, CASE WHEN did IN ('create', 'set_step', 'signal', 'resume') THEN 'running' WHEN did IN ('wait_signal', 'wait_until') THEN 'waiting' WHEN did = 'complete' THEN 'completed' WHEN did = 'cancel' THEN 'cancelled' ELSE status END,
+         CASE WHEN did IN ('create', 'set_step') THEN 'go' ELSE step END, CASE WHEN did IN ('create', 'set_step', 'signal', 'complete') THEN payload ELSE state END,
+         CASE WHEN did = 'wait_signal' THEN 'go' WHEN did IS NOT NULL THEN NULL ELSE signal END, CASE WHEN did = 'wait_until' THEN at_ms WHEN did IS NOT NULL THEN NULL ELSE resume_at_ms END,
+         events + CASE WHEN did IS NULL THEN 0 ELSE 1 END
+  FROM (SELECT *, CASE WHEN cmd = 'create' THEN CASE WHEN status IS NULL THEN cmd END WHEN NOT coalesce(status IN ('running', 'waiting'), false) THEN NULL
+          WHEN cmd = 'signal' THEN CASE WHEN signal = 'go' THEN cmd END WHEN cmd = 'resume' THEN CASE WHEN resume_at_ms <= at_ms THEN cmd END ELSE cmd END AS did
+    FROM (SELECT c.*, status, step, state, signal, resume_at_ms, events FROM r JOIN c ON c.id = r.id AND c.rn = r.rn + 1)))
+SELECT id, status, step, state, signal, resume_at_ms, events FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rn DESC) AS k FROM r) WHERE k = 1"""
+
+
+@query("workflow_fold", (), _FLOW_SQL)
 def workflow_fold(spark, d):
     """Commands made of conversations: each turn is a command on its conversation's workflow."""
     c = table(spark, d, "conversations")
@@ -559,10 +698,12 @@ def cron_next(spark, d):
     return found.select("event_id", F.col("next_fire").cast("timestamp_ntz").alias("next_fire"))
 
 
-@query("cron_tick", _SCHEDULES, f"""SELECT id, next_run_ms AS fired_at_ms, (next_run_ms // 300000 + 1) * 300000 AS next_run_ms, id % 3 + 1 AS fire_count
+@query("cron_tick", _SCHEDULES, f"""SELECT id, next_run_ms AS fired_at_ms, next_run_ms AS last_fired_at_ms, id % 3 + 1 AS fire_count,
+  CASE id % 3 WHEN 0 THEN (next_run_ms // 300000 + 1) * 300000 WHEN 1 THEN (next_run_ms // 3600000 + 1) * 3600000 ELSE ((next_run_ms - 23400000) // 86400000 + 1) * 86400000 + 23400000 END AS next_run_ms
 FROM (SELECT * FROM schedules WHERE enabled AND next_run_ms <= {STATE_NOW} ORDER BY id LIMIT 400)""")
 def cron_tick(spark, d):
-    return schedules.cron_tick(view(spark, d, "schedules").withColumn("fire_count", F.col("id") % 3), "*/5 * * * *", STATE_NOW, 400)
+    own = F.when(F.col("id") % 3 == 0, "*/5 * * * *").when(F.col("id") % 3 == 1, "0 * * * *").otherwise("30 6 * * *")
+    return schedules.cron_tick(view(spark, d, "schedules").withColumn("fire_count", F.col("id") % 3).withColumn("expression", own), STATE_NOW, 400)
 
 
 def _triggers(spark, d):
@@ -579,6 +720,15 @@ def trigger_fire(spark, d):
     return schedules.fire(_triggers(spark, d), sent, EVENTS_NOW)
 
 
+@query("trigger_counters", (), f"""WITH f AS (SELECT user_id % 25 AS n_nationkey, count(*) AS n FROM events WHERE user_id % 25 <> 7 GROUP BY 1)
+SELECT 't' || CAST(n_nationkey AS VARCHAR) AS name, n_nationkey % 4 <> 0 AS enabled, n_nationkey + CASE WHEN n_nationkey % 4 <> 0 THEN coalesce(n, 0) ELSE 0 END AS fire_count,
+       CASE WHEN n_nationkey % 4 <> 0 AND n IS NOT NULL THEN {EVENTS_NOW} WHEN n_nationkey < 12 THEN 1 END AS last_fired_at_ms FROM nation LEFT JOIN f USING (n_nationkey)""")
+def trigger_counters(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("name"), (F.col("n_nationkey") % 4 != 0).alias("enabled"), F.col("n_nationkey").cast("long").alias("fire_count"), F.when(F.col("n_nationkey") < 12, 1).cast("long").alias("last_fired_at_ms"))
+    sent = table(spark, d, "events").filter("user_id % 25 <> 7").select(F.concat(F.lit("t"), (F.col("user_id") % 25).cast("string")).alias("trigger"))
+    return schedules.after_fire(n, sent, EVENTS_NOW)
+
+
 @query("trigger_match", (), "SELECT source, name, k, trigger FROM (SELECT 'collection' AS source, o_orderpriority AS name, o_orderkey AS k FROM orders) JOIN (SELECT 'collection' AS source, CASE WHEN n_nationkey % 2 = 0 THEN '1-URGENT' ELSE '2-HIGH' END AS name, n_name AS trigger FROM nation WHERE n_nationkey < 4) USING (source, name)")
 def trigger_match(spark, d):
     done = table(spark, d, "orders").select(F.lit("collection").alias("source"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("k"))
@@ -586,6 +736,25 @@ def trigger_match(spark, d):
     return schedules.match_changes(done, listening)
 
 
+_HEALTH = (*_LOG, "queue_messages", "jobs", "objects", "outbox", "rpc_requests", "stream_entries", "ttl_kv", "workflows", "records")
+_SPACES = {"ttl": ("ttl_kv", "v"), "collections": ("records", "v"), "queues": ("queue_messages", "payload"), "jobs": ("jobs", "idempotency_key"), "outbox": ("outbox", "payload"), "rpc": ("rpc_requests", "payload"), "streams": ("stream_entries", "payload"), "objects": ("objects", "object_id"), "workflows": ("workflows", "signal_name")}
+
+
+@query("health_report", _HEALTH, _LIVE + _STORAGE + ", e AS (" + " UNION ALL ".join(f"SELECT '{k}' AS namespace, {c} AS v FROM {t}" for k, (t, c) in _SPACES.items()) + """),
+n AS (SELECT ns AS section, count(e.namespace) AS keys, CAST(coalesce(sum(strlen(v)), 0) AS BIGINT) AS value_bytes FROM (VALUES """ + ", ".join(f"('{k}')" for k in health.NAMESPACES) + """) t(ns) LEFT JOIN e ON e.namespace = ns GROUP BY ns),
+q AS (SELECT """ + _QUEUE_COUNTS + f""")
+SELECT section, 'keys' AS name, keys AS value FROM n UNION ALL SELECT section, 'value_bytes', value_bytes FROM n
+UNION ALL SELECT 'storage', unnest(['logged_bytes', 'n_keys', 'key_bytes', 'value_bytes', 'backlog_bytes', 'within_limit']), unnest([logged_bytes, n_keys, key_bytes, value_bytes, greatest(logged_bytes - key_bytes - value_bytes, 0), CAST(logged_bytes <= 1000000 AS BIGINT)]) FROM s
+UNION ALL SELECT 'queue', unnest(['ready', 'leased', 'dead', 'total', 'oldest_ready_ms', 'ready_lag_ms']), unnest([ready, leased, dead, total, oldest_ready_ms, greatest({EVENTS_NOW} - greatest(oldest_ready_ms, 0), 0)]) FROM q""")
+def health_report(spark, d):
+    rows, commits = _log(spark, d)
+    parts = [view(spark, d, t).select(F.lit(k).alias("namespace"), F.col(c).alias("v")) for k, (t, c) in _SPACES.items()]
+    entries = parts[0]
+    for p in parts[1:]:
+        entries = entries.unionByName(p)
+    return health.report(entries, log.storage_stats(rows, log.replay(rows, commits)), queues.health(view(spark, d, "queue_messages")), EVENTS_NOW, 1_000_000)
+
+
 @query("history_trend", (), """WITH h AS (SELECT event_type, event_id, value, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS previous, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS rn FROM events)
 SELECT event_type, count(*) AS samples, round(min(value), 3) AS min_value, round(max(value), 3) AS max_value, round(avg(value), 3) AS mean_value, round(max(value) FILTER (rn = 1), 3) AS latest_value,
        round(max(value - previous) FILTER (rn = 1), 3) AS change, round(max(CASE WHEN previous <> 0 THEN (value - previous) / previous * 100 END) FILTER (rn = 1), 3) AS change_percent FROM h GROUP BY event_type""")

@@ -105,17 +105,58 @@ def test_job_transitions(spark):
         [("a", "h", "ready", 0, None, 1, 0, 2, 10, 0, "k"), ("b", "h", "ready", 0, None, 9, 2, 2, 10, 0, None), ("c", "g", "leased", 0, None, 0, 1, 2, 10, 50, None), ("d", "g", "ready", 0, 100, 5, 0, 2, 10, 0, None), ("e", "g", "dead", 0, None, 0, 2, 2, 10, 0, "z")], JOB
     )
     # the best job of h has no attempt left: it dies, and the claim gives nothing although another waits
-    assert rows(jobs.claim(j, 100, 10), "id", "claimed", "state", "attempts") == [("b", False, "dead", 2), ("c", True, "leased", 2)]
-    assert rows(jobs.expired(j, 100), "id") == [("d",)] and jobs.expired(j, 99).count() == 0
-    assert rows(jobs.reap(j, 50), "id", "state") == [("c", "ready")] and jobs.reap(j, 49).count() == 0
+    assert rows(jobs.claim(j, 100, 10), "id", "claimed", "state", "attempts", "lease_until_ms") == [("b", False, "dead", 3, 0)]
+    assert rows(jobs.claim(j, 100, 10, ["g"]), "id", "claimed", "state", "attempts", "lease_until_ms") == [("c", True, "leased", 2, 110)]
+    assert rows(jobs.claim(j, 100, 10, claims=9), "id", "claimed") == [("a", True), ("b", False), ("c", True)]
+    assert rows(jobs.expired(j, 100), "id", "lease_until_ms") == [("d", 0)] and jobs.expired(j, 99).count() == 0
+    # past its deadline a job dies even before it is available
+    assert rows(jobs.expired(j.withColumn("available_at_ms", F.lit(10**6)), 100), "id") == [("d",)]
+    assert rows(jobs.reap(j, 50), "id", "state", "available_at_ms", "lease_until_ms") == [("c", "ready", 50, 0)] and jobs.reap(j, 49).count() == 0
     commands = spark.createDataFrame([("a", "cancel", None, None), ("c", "complete", 1, None), ("e", "retry", None, None), ("d", "complete", 0, None)], "id string, command string, generation long, until_ms long")
-    assert rows(jobs.settle(j, commands, 77), "id", "state", "attempts", "available_at_ms") == [("a", "cancelled", 0, 0), ("b", "ready", 2, 0), ("c", "completed", 1, 0), ("d", "ready", 0, 0), ("e", "ready", 0, 77)]
+    assert rows(jobs.settle(j, commands, 77), "id", "state", "attempts", "available_at_ms", "lease_until_ms") == [("a", "cancelled", 0, 0, 0), ("b", "ready", 2, 0, 0), ("c", "completed", 1, 0, 0), ("d", "ready", 0, 0, 0), ("e", "ready", 0, 77, 0)]
     specs = spark.createDataFrame([(1, "k"), (2, "z"), (3, "z"), (4, None), (5, None)], "spec_id long, idempotency_key string")
     assert rows(jobs.submit(j, specs), "spec_id", "reuses", "is_new") == [(1, "a", False), (2, None, True), (3, None, False), (4, None, True), (5, None, True)]
     delays = [r[0] for r in spark.range(256).select(retry_delay_ms(F.repeat(F.char("id"), 16), F.lit(1000), F.lit(3))).collect()]
     assert min(delays) >= 2700 and max(delays) <= 3300 and len(set(delays)) > 4
 
 
+def test_a_job_over_several_steps(spark):
+    """Claimed, lost, reaped, claimed again, failed, claimed a last time past its attempts, retried by hand, cancelled."""
+    j = spark.createDataFrame([("a", "h", "ready", 0, None, 1, 0, 2, 100, 0, None)], JOB)
+    leased = jobs.claim(j, 10, 5).select(j.columns)
+    assert rows(leased, "state", "attempts", "lease_until_ms") == [("leased", 1, 15)]
+    assert jobs.claim(leased, 14, 5).count() == 0 and jobs.reap(leased, 14).count() == 0
+    back = jobs.reap(leased, 15).select(j.columns)
+    assert rows(back, "state", "available_at_ms", "lease_until_ms") == [("ready", 15, 0)]
+    again = jobs.claim(back, 20, 5).select(j.columns)
+    stale = spark.createDataFrame([("a", "complete", 1, None)], "id string, command string, generation long, until_ms long")
+    assert rows(jobs.settle(again, stale, 21), "state") == [("leased",)]
+    dead = jobs.fail(again, 21).select(j.columns)
+    assert rows(dead, "state", "lease_until_ms") == [("dead", 0)] and jobs.claim(dead, 99, 5).count() == 0
+    revived = jobs.settle(dead, stale.withColumn("command", F.lit("retry")), 30)
+    assert rows(revived, "state", "attempts", "available_at_ms") == [("ready", 0, 30)]
+    assert rows(jobs.settle(jobs.claim(revived, 30, 5).select(j.columns), stale.withColumn("command", F.lit("cancel")), 31), "state", "lease_until_ms") == [("cancelled", 0)]
+
+
+def test_index_transactions_and_migrations(spark):
+    records = spark.createDataFrame([(1, "a"), (2, "b")], "pk long, v string")
+    index = spark.createDataFrame([("u", "x", 1), ("u", "y", 2), ("s", "q", 1)], "idx string, idx_value string, pk long")
+    new = spark.createDataFrame([(1, "c")], "pk long, v string")
+    entry = lambda v: spark.createDataFrame([("u", v, 1)], index.schema)
+    with pytest.raises(ValueError, match="belongs to 2"):
+        collections.upsert_indexed(records, index, new, entry("y"), ["u"])
+    with pytest.raises(ValueError, match="empty"):
+        collections.upsert_indexed(records, index, new.withColumn("pk", F.lit(None).cast("long")), entry("z"), ["u"])
+    r, i = collections.upsert_indexed(records, index, new, entry("x"), ["u"])
+    assert rows(r, "pk", "v") == [(1, "c"), (2, "b")] and rows(i, "idx", "idx_value", "pk") == [("u", "x", 1), ("u", "y", 2)]
+    with pytest.raises(ValueError, match="found 4"):
+        collections.migrate_collection(records, index, 4, 3, 5, F.upper)
+    same, _, report = collections.migrate_collection(records, index, 3, 3, 5, F.upper, batch_size=1, dry_run=True)
+    assert rows(same, "v") == [("a",), ("b",)] and report.first().batches_committed == 0 and report.first().version == 3
+    with pytest.raises(Exception):
+        objects.retention(spark.createDataFrame([("o", "soon")], "object_id string, expires_at_unix string"), spark.createDataFrame([], "object_id string"), 5).collect()
+
+
 def test_cron(spark):
     for bad in ("* * * *", "60 * * * *", "*/0 * * * *", "5-1 * * * *", "x * * * *", "* * * * 7"):
         with pytest.raises(ValueError):

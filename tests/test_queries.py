@@ -38,7 +38,7 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
-    assert set(QUERIES) - set(ORACLES) == {"group_fold", "workflow_fold"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_folds_match_a_plain_loop(spark, sf_dir):
