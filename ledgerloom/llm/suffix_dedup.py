@@ -15,8 +15,9 @@ Different contexts can still share single windows (where a repeated passage begi
 one anchor are equal only if the 42 bytes before it or the 42 after it are; entries for which neither holds are
 done.  The others are opened into their windows, which meet by fingerprint in the same kind of family.
 
-Full suffix arrays, sorted by bytes, would index every position instead of one in 43.  Fingerprints have 64 bits
-(anchor and context together 128).
+Full suffix arrays, sorted by bytes, would index every position instead of one in 43.  Texts are not compared byte by byte:
+entries are alike if 64 bits of their context and 64 bits of their anchor are, single windows if 64 bits and 32 bits of
+another hash are.
 """
 
 from __future__ import annotations
@@ -68,6 +69,10 @@ class Grams:
                 done += n
         return mix(total)
 
+    def second(self, p: np.ndarray) -> np.ndarray:
+        """32 bits of another hash of the window from each place: its two parts are combined in another way."""
+        return mix(self.at(p, 64) ^ mix(self.at(p + 64, LENGTH - 64) + np.uint64(1))) >> np.uint64(32)
+
     def side(self, p: np.ndarray) -> np.ndarray:
         """32-bit hashes, never 0, of an anchor with the bytes on one side."""
         return (self.at(p, _GRAM + _SIDE) >> np.uint64(32)) | np.uint64(1)
@@ -121,15 +126,15 @@ class LevelFamily:
     def append(self, batch: np.ndarray) -> np.ndarray:
         """Take in a batch; the entries, of it or from the levels, that repeat an earlier one."""
         repeated = []
-        batch = batch[np.lexsort((batch["lo"], batch["tag"], batch["doc"], batch["key"]))]
+        batch = batch[np.lexsort((batch["lo"], batch["tag"], batch["doc"], batch["anchor"], batch["key"]))]
         head = np.ones(len(batch), bool)
-        head[1:] = batch["key"][1:] != batch["key"][:-1]
+        head[1:] = (batch["key"][1:] != batch["key"][:-1]) | (batch["anchor"][1:] != batch["anchor"][:-1])
         owner = batch[head][np.cumsum(head) - 1]
         repeated.append(batch[~head & ~_same(batch, owner)])
         batch = batch[head]
         for level in self.levels:
             at = np.minimum(np.searchsorted(level["key"], batch["key"]), len(level) - 1)
-            hit = level["key"][at] == batch["key"]
+            hit = (level["key"][at] == batch["key"]) & (level["anchor"][at] == batch["anchor"])
             at, new = at[hit], batch[hit]
             old = level[at]
             wins = _earlier(new, old)
@@ -156,7 +161,7 @@ def _rows(e: np.ndarray, done: bool, single: bool = False) -> pa.RecordBatch:
     if done:
         columns[1] = columns[2] = np.zeros(len(e), np.int64)
     elif single:
-        columns[1] = columns[2]
+        columns[:3] = e["key"].view(np.int64), e["anchor"].view(np.int64), np.zeros(len(e), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "context", "sides", "doc", "tag", "lo", "pack"])
 
 
@@ -264,7 +269,7 @@ def _open_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text += [np.full(len(x), i) for x in own]
             p, text = np.concatenate(p), np.concatenate(text)
             e = np.zeros(len(p), _ENTRY)
-            e["anchor"] = e["key"] = grams.at(p + offsets[text], LENGTH)
+            e["key"], e["anchor"] = grams.at(p + offsets[text], LENGTH), grams.second(p + offsets[text])
             e["doc"], e["tag"], e["lo"] = docs[row + text], tags[row + text], p
             yield _rows(family.append(e), True)
             if len(family) > _FULL:
@@ -278,7 +283,7 @@ def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for e in _gathered(batches):
         done = e["pack"] < 0
         e["pack"] &= 2**31 - 1
-        e["key"] = e["anchor"]
+        e["key"], e["anchor"] = e["anchor"].copy(), e["key"].copy()
         yield _rows(e[done], True)
         yield _rows(family.append(e[~done]), True)
 
