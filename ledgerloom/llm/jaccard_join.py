@@ -43,6 +43,7 @@ _PIVOTS = 4
 _PIVOT_ROUNDS = 4
 _PAIRS_PER_ENTRY = 1
 _BLOCK_ROWS, _BLOCK_BYTES = 256, 1 << 19  # of a block of texts that are compared in one step
+_SALTS = 16  # keys over which one list's entries are dealt
 _GROUP = 8  # blocks that one key of a task compares with a block
 _NULL_ID = 2**63 - 1
 _LIGHT = np.uint64(1)  # the last bit of keys that are 2-subsets
@@ -249,12 +250,15 @@ def _other_links(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     that the work of a key is bounded.  A task compares two blocks by the product of their shingle incidences and
     emits one link at most for each pair of components.
     """
-    size = F.octet_length("text").cast("long")
+    lengths = texts.select("sid", F.octet_length("text").cast("long").alias("size"))
     away = lists.filter("comp <> main").select("main", "sid", "comp", F.lit(True).alias("away"))
     near = lists.filter("comp = main").select("main", "sid", "comp", F.lit(False).alias("away"))
-    rows = away.unionByName(near).distinct().join(texts, "sid")
-    parts = rows.groupBy("main", "away").agg(F.ceil(F.greatest(F.sum(size) / _BLOCK_BYTES, F.count("*") / _BLOCK_ROWS)).cast("long").alias("parts"))
-    spread = rows.join(parts, ["main", "away"]).withColumn("part", F.pmod(F.xxhash64("sid"), F.greatest("parts", F.lit(1))))
+    rows = away.unionByName(near).distinct().join(lengths, "sid")
+    parts = rows.groupBy("main", "away").agg(F.ceil(F.greatest(F.sum("size") / _BLOCK_BYTES, F.count("*") / _BLOCK_ROWS)).cast("long").alias("parts"))
+    # salted, and without texts: they first meet where the key is a block
+    salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(_SALTS)).cast("int")).join(salted, ["main", "away", "salt"])
+    spread = spread.select("main", "away", "sid", "comp", F.pmod(F.xxhash64("sid"), F.greatest("parts", F.lit(1))).alias("part")).join(texts, "sid")
     blocks = spread.groupBy("main", "away", "part").agg(F.collect_list(F.struct("sid", "comp", "text")).alias("rows"))
     sizes = parts.groupBy("main").agg(F.max(F.when(F.col("away"), F.col("parts"))).alias("outside"), F.max("parts").alias("most"))
     blocks = blocks.join(sizes, "main")
