@@ -16,10 +16,10 @@ Documents with equal sets are one node.  Heavy prefixes are longer than needed b
 16), so that similar sets share that many of their keys: sets with too few keys in common with any other leave, and so do
 pairs with too few in common, before any text is looked at.
 
-Within a key's list not all pairs are formed: every member meets a few pivots; lists whose members then lie in
-one component are done; in the others the members outside the main component meet new pivots of it, as long as that
-helps.  In the end all pairs between different components that are left are verified, so no link between
-different components is lost.
+Lists of a few members form all their pairs and are done.  In the others every member meets a few pivots; lists whose
+members then lie in one component are done too.  Where a few members are outside the main component, these meet all
+others, and the list is done; elsewhere they meet new pivots of it, as long as that helps.  In the end all pairs
+between different components that are left are verified, so no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -41,10 +41,13 @@ _SLICE = 1 << 16
 _LARGEST_BOUNDARY = 64
 _PIVOTS = 4
 _PIVOT_ROUNDS = 4
-_PAIRS_PER_ENTRY = 1
+_FEW = 8  # entries of a list whose pairs are all formed at once
+_FEW_OUTSIDE = 16  # entries outside a list's main component that meet all others of the list at once
 _BLOCK_ROWS, _BLOCK_BYTES = 256, 1 << 19  # of a block of texts that are compared in one step
 _SALTS = 16  # keys over which one list's entries are dealt
 _GROUP = 8  # blocks that one key of a task compares with a block
+#: Blocks move a text once for each _BLOCK_ROWS entries outside, a turn of pivots moves two for each pivot: up to here blocks move less.
+_PAIRS_PER_ENTRY = 2 * _PIVOTS * _BLOCK_ROWS
 _NULL_ID = 2**63 - 1
 _LIGHT = np.uint64(1)  # the last bit of keys that are 2-subsets
 
@@ -230,16 +233,23 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
-def _pivot_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of entries (key, sid, comp, main) outside their list's main component with pivots b inside it.
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    Before there are components (turn 0) all entries meet pivots among all.  Pivots are the least ids after flipping bits.
-    """
+
+def _all_pairs(outside: DataFrame, lists: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components with one entry (key, sid, comp) outside and one of the same list."""
+    one = outside.select("key", F.col("sid").alias("a"), F.col("comp").alias("ca"))
+    other = lists.select("key", F.col("sid").alias("b"), F.col("comp").alias("cb"))
+    return _unordered(one.join(other, "key").filter("ca <> cb"))
+
+
+def _pivot_pairs(outside: DataFrame, inside: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of entries (key, sid) outside with pivots of the same list inside: the least ids after flipping bits."""
     flips = [int(x) for x in np.random.default_rng(turn).integers(-(2**63), 2**63, _PIVOTS)]
-    inside, outside = (lists, lists) if turn == 0 else (lists.filter("comp = main"), lists.filter("comp <> main"))
     pivots = inside.groupBy("key").agg(*[F.min(F.col("sid").bitwiseXOR(F.lit(c))).alias(f"p{j}") for j, c in enumerate(flips)])
     chosen = F.array_distinct(F.array(*[F.col(f"p{j}").bitwiseXOR(F.lit(c)) for j, c in enumerate(flips)]))
-    return outside.join(pivots, "key").select(F.col("sid").alias("a"), F.explode(chosen).alias("b")).filter("a <> b").distinct()
+    return _unordered(outside.join(pivots, "key").select(F.col("sid").alias("a"), F.explode(chosen).alias("b")).filter("a <> b"))
 
 
 def _other_links(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -329,30 +339,38 @@ def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     sketch = spark.sparkContext.broadcast(counts)
     sets = _shared(_keys(documents, text_col, sketch, boundary, percent), percent)
+    sketch.destroy()  # only the table needed it
     texts = _texts(documents, id_col, text_col, profile, sets)
-    entries = sets.select("sid", "n", F.explode("keys").alias("key"))
-
-    lists, comps, costs = entries, None, []
-    for turn in range(_PIVOT_ROUNDS + 1):
-        slow = len(costs) > 1 and 10 * costs[-1] > 9 * costs[-2]
-        last = turn > 0 and (slow or turn == _PIVOT_ROUNDS or costs[-1] <= _PAIRS_PER_ENTRY * size)
-        if last:
-            links = _other_links(lists, texts, percent)
-        else:
-            links = _linked(_worth(_pivot_pairs(lists, turn), sets, percent), texts, percent)
-        comps = components(links if comps is None else links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        if last:
-            break
-        tagged = entries.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", "n", F.coalesce("comp", "sid").alias("comp"))
+    entries = sets.select(F.explode("keys").alias("key"), "sid")
+    sizes = entries.groupBy("key").agg(F.count("*").alias("all"))
+    few = entries.join(sizes.filter(F.col("all") <= _FEW).select("key"), "key").withColumn("comp", F.col("sid"))
+    lists = materialize(entries.join(sizes.filter(F.col("all") > _FEW).select("key"), "key"), "op5-lists")
+    pairs = _all_pairs(few, few).unionByName(_pivot_pairs(lists, lists, 0)).distinct()
+    comps, costs = components(_linked(_worth(pairs, sets, percent), texts, percent)), []
+    for turn in range(1, _PIVOT_ROUNDS + 1):
+        tagged = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
         heads = tagged.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
         heads = heads.agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).filter("top.m < all")
-        heads = heads.select("key", F.col("top.comp").alias("main"), ((F.col("all") - F.col("top.m")) * F.col("all")).alias("cost"), "all")
-        lists = materialize(tagged.join(heads, "key"), "op5-open")
-        per_list = lists.groupBy("key").agg(F.first("cost").alias("cost"), F.first("all").alias("all"))
-        cost, size = per_list.agg(F.sum("cost"), F.sum("all")).first()
-        if cost is None:
+        heads = heads.select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.m")).alias("outside"))
+        opened = materialize(tagged.join(heads, "key"), "op5-open")
+        if opened.isEmpty():
+            break
+        few, lists = opened.filter(F.col("outside") <= _FEW_OUTSIDE), opened.filter(F.col("outside") > _FEW_OUTSIDE)
+        pairs = _all_pairs(few.filter("comp <> main"), few)
+        met = lists.select("main", "sid", (F.col("comp") != F.col("main")).cast("long").alias("away")).distinct().groupBy("main")
+        cost, size = met.agg(F.sum("away").alias("away"), F.count("*").alias("all")).agg(F.sum(F.col("away") * F.col("all")), F.sum("all")).first()
+        costs.append(cost or 0)
+        slow = len(costs) > 1 and 10 * costs[-1] > 9 * costs[-2]
+        last = slow or turn == _PIVOT_ROUNDS or costs[-1] <= _PAIRS_PER_ENTRY * (size or 0)
+        if not last:
+            pairs = pairs.unionByName(_pivot_pairs(lists.filter("comp <> main"), lists.filter("comp = main"), turn)).distinct()
+        links = _linked(_worth(pairs, sets, percent), texts, percent)
+        if last and cost:
+            links = links.unionByName(_other_links(lists, texts, percent))
+        comps = components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        if last:
             break
-        costs.append(cost)
+        lists = lists.select("key", "sid")
     own = members.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
     own = own.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     # behind a table, so that Spark can split the rows of a component that holds many

@@ -73,3 +73,45 @@ def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(300, 340)] + [(9, 9)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 7 for i in range(300, 340)}, 7: 7}
+
+
+def _lists(r):
+    """Sets of 200 shingles: near copies of one text, others that share a passage with it, and groups of two to nine."""
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(80))
+    body = [word() for _ in range(120)]
+    out = [" ".join([*body[:-1], word(), passage]) for _ in range(30)]
+    out += [" ".join([*(word() for _ in range(120)), passage]) for _ in range(30)]
+    for n in (2, 3, 8, 9):
+        base = [word() for _ in range(200)]
+        out += [" ".join([*base[: 199 - 2 * i], word(), *base[200 - 2 * i :]]) for i in range(n)]
+    return out
+
+
+def test_lists_of_all_kinds_lose_no_link(spark, monkeypatch):
+    r = random.Random(8)
+    rows = list(enumerate(_lists(r)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    for few, outside, cheap in ((8, 16, 2048), (2, 1, 0), (2, 1, 2048), (8, 40, 0)):
+        monkeypatch.setattr(jaccard_join, "_FEW", few)
+        monkeypatch.setattr(jaccard_join, "_FEW_OUTSIDE", outside)
+        monkeypatch.setattr(jaccard_join, "_PAIRS_PER_ENTRY", cheap)
+        assert sorted(map(tuple, jaccard_join.link_components(df).collect()), key=repr) == want, (few, outside, cheap)
+
+
+def test_a_pair_is_verified_once_and_small_lists_need_no_second_turn(spark, monkeypatch):
+    """Lists of two that don't link were met in both directions, and again as blocks of texts."""
+    r = random.Random(9)
+    words = lambda n: ["".join(r.choices("abcdefgh", k=5)) for _ in range(n)]
+    rows = []
+    for i in range(20):
+        shared = words(95)
+        rows += [(2 * i, " ".join(shared + words(25))), (2 * i + 1, " ".join(shared + words(25)))]
+    seen, linked = [], jaccard_join._linked
+    monkeypatch.setattr(jaccard_join, "_worth", lambda pairs, *_: pairs)
+    monkeypatch.setattr(jaccard_join, "_linked", lambda pairs, *a: seen.append(sorted(map(tuple, pairs.collect()))) or linked(pairs, *a))
+    monkeypatch.setattr(jaccard_join, "_other_links", lambda *_: 1 / 0)
+    got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x.doc_id == x.component_id for x in got)
+    assert len(seen) == 1 and seen[0] and len({frozenset(p) for p in seen[0]}) == len(seen[0])
