@@ -4,7 +4,8 @@ Encoding normalises by longest prefix through the model's compiled character map
 pool of replacements), recording for every normalised byte the source byte it came from; BPE merges (with byte
 fallback) then run on the normalised text, and every piece is projected through that alignment to a span of the
 original UTF-8 bytes.  Models whose pieces never continue past a word end are encoded word by word with a
-bounded memo; where the map is empty the alignment is known in closed form (a space is one byte either way).
+bounded memo; the words of a batch that it lacks are merged together, one merge of each word in a step.  Where the
+map is empty the alignment is known in closed form (a space is one byte either way).
 
 The model file's bytes travel to the executors as one broadcast: a model has a fixed size.
 """
@@ -26,9 +27,11 @@ from .common import bound_batches
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER_DEFINED, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-_MEMO = 60_000  # words in each of the two generations that a worker remembers
+_MEMO = 120_000  # words in each of the two generations that a worker remembers
 _ROWS = 256  # documents in a batch of results
 _SHORT = 48  # symbols up to which a merge scans instead of using a heap
+_TOGETHER = 4096  # words that are merged together
+_NEVER = np.int32(2**31 - 1)
 
 
 class CharsMap:
@@ -64,6 +67,96 @@ class CharsMap:
         return self.pool[start : self.pool.index(b"\0", start)], found[1]
 
 
+class Merges:
+    """The merges of many words at once: in every step each word's best pair, the leftmost of equals, becomes one symbol.
+
+    Symbols are pieces, by id, then characters that only occur inside pieces, then one that stands for all others.
+    """
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, float], n: int):
+        known = dict(ids)
+        for piece in ids:
+            for c in piece:
+                if c not in known:
+                    known[c] = n
+                    n += 1
+        self.other = n
+        chars = {ord(c): k for c, k in known.items() if len(c) == 1}
+        self.of_char = np.full(max(chars, default=0) + 2, n, np.int32)
+        self.of_char[list(chars)] = list(chars.values())
+        order = {r: i for i, r in enumerate(sorted(set(rank.values())))}
+        pairs: dict[int, tuple[int, int]] = {}
+        for piece, k in ids.items():
+            for i in range(1, len(piece)):
+                if (a := known.get(piece[:i])) is not None and (b := known.get(piece[i:])) is not None:
+                    pairs[a << 32 | b] = order[rank[piece]], k
+        self.bits = max(8, (4 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks, self.joined = np.full(1 << self.bits, _NEVER, np.int32), np.zeros(1 << self.bits, np.int32)
+        left = np.array(list(pairs), np.int64)
+        values = np.array(list(pairs.values()), np.int32).reshape(-1, 2)
+        slots = self._slot(left)
+        while len(left):  # linear probing: of those that want a free slot the first one gets it
+            free = self.keys[slots] < 0
+            at, first = np.unique(slots[free], return_index=True)
+            rows = np.flatnonzero(free)[first]
+            self.keys[at], self.ranks[at], self.joined[at] = left[rows], values[rows, 0], values[rows, 1]
+            rest = np.ones(len(left), bool)
+            rest[rows] = False
+            left, values, slots = left[rest], values[rest], (slots[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the pieces that these pairs of symbols (-1: none) make."""
+        keys = a.astype(np.int64) << 32 | b
+        keys[(a < 0) | (b < 0)] = -2
+        slots = self._slot(keys)
+        todo = np.flatnonzero((self.keys[slots] != keys) & (self.keys[slots] >= 0))
+        while len(todo):
+            slots[todo] = (slots[todo] + 1) & ((1 << self.bits) - 1)
+            todo = todo[(self.keys[slots[todo]] != keys[todo]) & (self.keys[slots[todo]] >= 0)]
+        hit = self.keys[slots] == keys
+        return np.where(hit, self.ranks[slots], _NEVER), self.joined[slots]
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all words in a row, their first characters' places in the joined words, and where each word's symbols end."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begins = np.cumsum(sizes) - sizes
+        n, width = len(words), int(sizes.max()) + 2  # a column of none on both sides
+        filled = np.arange(width - 2) < sizes[:, None]
+        symbols = np.full((n, width), -1, np.int32)
+        symbols[:, 1:-1][filled] = self.of_char[np.minimum(codes, len(self.of_char) - 1)]
+        flat = symbols.reshape(-1)
+        after = np.arange(1, flat.size + 1)
+        before = np.arange(-1, flat.size - 1)
+        cost = np.full((n, width), _NEVER, np.int32)
+        piece = np.zeros((n, width), np.int32)
+        i, j = np.nonzero(filled[:, 1:])
+        cost[i, j + 1], piece[i, j + 1] = self._find(symbols[i, j + 1], symbols[i, j + 2])
+        costs, pieces = cost.reshape(-1), piece.reshape(-1)
+        rows, active = np.arange(n), cost
+        while len(rows):
+            best = np.argmin(active, axis=1)
+            ok = active[np.arange(len(rows)), best] != _NEVER
+            rows, best = rows[ok], best[ok]
+            at = rows * width + best
+            gone = after[at]
+            flat[at] = pieces[at]
+            flat[gone], costs[gone] = -1, _NEVER
+            after[at] = right = after[gone]
+            before[right] = at
+            left = before[at]
+            costs[at], pieces[at] = self._find(flat[at], flat[right])
+            costs[left], pieces[left] = self._find(flat[left], flat[at])
+            active = cost[rows]
+        kept = symbols >= 0
+        places = (np.arange(width) - 1 + begins[:, None])[kept]
+        return symbols[kept], places, np.cumsum(kept.sum(axis=1))
+
+
 class PieceModel:
     def __init__(self, blob: bytes):
         from sentencepiece import sentencepiece_model_pb2
@@ -90,6 +183,7 @@ class PieceModel:
         inner = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         self.split = re.compile("(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.direct = not self.charsmap.units and not self.squeeze
+        self.merges = Merges(self.ids, self.rank, len(kinds))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -188,14 +282,64 @@ class PieceModel:
             self.young[word] = found
         return found
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """ids, the source byte at which each piece ends, and the one where the first begins."""
+    def _words(self, text: str) -> list[str] | None:
+        """The words of a text, where the alignment is known."""
+        if not self.direct or SPACE in text or not text:
+            return None
+        coded = text.replace(" ", SPACE)
+        return self.split(SPACE + coded if self.dummy else coded)
+
+    def learn(self, texts: list[str]) -> list[list[str] | None]:
+        """The texts' words, for encode; those that the memo lacks are put into it, as far as it reaches."""
+        split = [self._words(text) for text in texts]
+        words: set[str] = set().union(*[w for w in split if w])
+        young, old = self.young, self.old
+        short = sorted((w for w in words if len(w) <= _SHORT and w not in young and w not in old), key=len)
+        for at in range(0, len(short), _TOGETHER):
+            self._learn(short[at : at + _TOGETHER])
+        return split
+
+    def _learn(self, words: list[str]) -> None:
+        symbols, places, ends = self.merges.merge(words)
+        joined = "".join(words)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        # bytes of the source, a space mark counting one
+        wide = 1 + (codes >= 0x80).astype(np.int32) + (codes >= 0x800) + (codes >= 0x10000)
+        wide[codes == ord(SPACE)] = 1
+        total = np.concatenate([[0], np.cumsum(wide)])
+        bounds = np.append(places, len(codes))
+        widths = total[bounds[1:]] - total[bounds[:-1]]
+        strange = np.flatnonzero(symbols >= len(self.kinds))  # characters that are no pieces
+        if not self.bytes:
+            symbols[strange] = self.unk
+        elif len(strange):
+            raw = np.frombuffer(joined.encode(), np.uint8)
+            of_byte = np.array([self.bytes[i] for i in range(256)], np.int32)
+            first = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000))])
+            times = np.ones(len(symbols), np.int64)
+            times[strange] = first[places[strange] + 1] - first[places[strange]]
+            stops = np.cumsum(times)
+            ends = stops[ends - 1]
+            symbols, spread = np.repeat(symbols, times), np.repeat(widths, times)
+            inside = np.arange(len(symbols)) - np.repeat(stops - times, times)
+            spread[inside < np.repeat(times, times) - 1] = 0  # the last byte holds the width
+            at = symbols >= len(self.kinds)
+            symbols[at] = of_byte[raw[(np.repeat(first[places], times) + inside)[at]]]
+            widths = spread
+        blob, start = np.stack([symbols, widths], axis=1).astype("<i4").tobytes(), 0
+        if len(self.young) + len(words) > _MEMO:
+            self.old, self.young = self.young, {}
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.young[word] = blob[8 * start : 8 * end]
+            start = end
+
+    def encode(self, text: str, words: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """ids, the source byte at which each piece ends, and the one where the first begins; words: what learn made of the text."""
         get, word = self.young.get, self._word
         if self.direct and SPACE not in text:
             if not text:
                 return np.empty(0, np.int32), np.empty(0, np.int32), 0
-            coded = text.replace(" ", SPACE)
-            chunks = self.split(SPACE + coded if self.dummy else coded)
+            chunks = self._words(text) if words is None else words
             pairs = np.frombuffer(b"".join([get(c) or word(c) for c in chunks]), np.int32).reshape(-1, 2)
             return pairs[:, 0], np.cumsum(pairs[:, 1], dtype=np.int32) - np.int32(self.dummy), 0
         normal, align = self.normalize(text)
@@ -269,8 +413,9 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", add_eos: bool
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
                 ids, ends, starts, sizes, back = [], [], [], [0], []
-                for text in batch.column(n_keep).to_pylist():
-                    i, e, start = model.encode(text)
+                texts = batch.column(n_keep).to_pylist()
+                for text, words in zip(texts, model.learn(texts), strict=True):
+                    i, e, start = model.encode(text, words)
                     ids += i, tail
                     ends += e, np.full(len(tail), e[-1] if len(e) else start, np.int32)
                     starts.append(start)

@@ -80,3 +80,27 @@ def test_query_on_nulls_repeats_clashes_and_empty_tables(spark, library, tmp_pat
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
     df.filter(F.lit(False)).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert registry.op1(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_words_merged_together_equal_single_merges(monkeypatch):
+    """learn fills the memo so that no word of up to _SHORT characters is merged alone."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+
+    from ledgerloom.llm import pieces
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        blob = f.read()
+    plain, learned = pieces.PieceModel(blob), pieces.PieceModel(blob)
+    r = random.Random(3)
+    texts = ["", " ", "  a", "x" * 30, "the  quick brown\n\tfox", "\u2581 mark", "日本語 テキスト", "\U0001f600\u0301 é\x00 \U000e0041z"]
+    texts += ["".join(r.choices("abcdeinrst éñ日\U0001f600\u1234\n ", k=200)) for _ in range(200)]
+    want = [plain.encode(t) for t in texts]
+    learned.learn(texts)
+    monkeypatch.setattr(learned, "_merge", lambda word: 1 / 0 if word in short else plain._merge(word))
+    short = {w for t in texts if t and pieces.SPACE not in t for w in plain.split(pieces.SPACE + t.replace(" ", pieces.SPACE)) if len(w) <= pieces._SHORT}
+    for t, (ids, ends, start) in zip(texts, want, strict=True):
+        got = learned.encode(t)
+        assert np.array_equal(got[0], ids) and np.array_equal(got[1], ends) and got[2] == start, t
