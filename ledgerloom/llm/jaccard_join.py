@@ -95,12 +95,13 @@ def _sketch(profile: DataFrame) -> np.ndarray:
                 own = sums.setdefault(i, np.zeros(_SLICE, np.uint64))
                 own += np.frombuffer(zlib.decompress(blob), np.uint32)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
+            blobs = [zlib.compress(np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes(), 1) for s in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
 
     total = np.zeros(1 << _BITS, np.uint32)
     tasks = profile.filter("slice is not null").select("slice", "counts")
     for i, blob in tasks.repartition("slice").mapInArrow(add, "slice int, counts binary").collect():
-        total[i * _SLICE : (i + 1) * _SLICE] = np.frombuffer(blob, np.uint32)
+        total[i * _SLICE : (i + 1) * _SLICE] = np.frombuffer(zlib.decompress(blob), np.uint32)
     return total
 
 
@@ -233,10 +234,21 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(_SALTS)).cast("int")
+
+
 def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _few_pairs(few: DataFrame) -> DataFrame:
+    """All pairs (a, b) of entries (key, sid) of one list, where a list has a few: grouped once, not joined with themselves."""
+    own = few.groupBy("key").agg(F.array_sort(F.collect_set("sid")).alias("sids"))
+    both = own.select("sids", F.explode("sids").alias("a")).select("a", F.explode(F.filter("sids", lambda b: b > F.col("a"))).alias("b"))
+    return both.distinct()
+
+
 def _all_pairs(outside: DataFrame, lists: DataFrame) -> DataFrame:
     """All pairs (a, b) of different components with one entry (key, sid, comp) outside and one of the same list."""
     one = outside.select("key", F.col("sid").alias("a"), F.col("comp").alias("ca"))
@@ -249,7 +261,9 @@ def _pivot_pairs(outside: DataFrame, inside: DataFrame, turn: int) -> DataFrame:
     flips = [int(x) for x in np.random.default_rng(turn).integers(-(2**63), 2**63, _PIVOTS)]
     pivots = inside.groupBy("key").agg(*[F.min(F.col("sid").bitwiseXOR(F.lit(c))).alias(f"p{j}") for j, c in enumerate(flips)])
     chosen = F.array_distinct(F.array(*[F.col(f"p{j}").bitwiseXOR(F.lit(c)) for j, c in enumerate(flips)]))
-    return _unordered(outside.join(pivots, "key").select(F.col("sid").alias("a"), F.explode(chosen).alias("b")).filter("a <> b"))
+    pivots = pivots.select("key", chosen.alias("pivots"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    met = outside.withColumn("salt", _salt("sid")).join(pivots, ["key", "salt"])
+    return _unordered(met.select(F.col("sid").alias("a"), F.explode("pivots").alias("b")).filter("a <> b"))
 
 
 def _other_links(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -263,15 +277,15 @@ def _other_links(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     lengths = texts.select("sid", F.octet_length("text").cast("long").alias("size"))
     away = lists.filter("comp <> main").select("main", "sid", "comp", F.lit(True).alias("away"))
     near = lists.filter("comp = main").select("main", "sid", "comp", F.lit(False).alias("away"))
-    rows = away.unionByName(near).distinct().join(lengths, "sid")
+    rows = materialize(away.unionByName(near).distinct().join(lengths, "sid"), "op5-rows")
     parts = rows.groupBy("main", "away").agg(F.ceil(F.greatest(F.sum("size") / _BLOCK_BYTES, F.count("*") / _BLOCK_ROWS)).cast("long").alias("parts"))
     # salted, and without texts: they first meet where the key is a block
     salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    spread = rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(_SALTS)).cast("int")).join(salted, ["main", "away", "salt"])
+    spread = rows.withColumn("salt", _salt("sid")).join(salted, ["main", "away", "salt"])
     spread = spread.select("main", "away", "sid", "comp", F.pmod(F.xxhash64("sid"), F.greatest("parts", F.lit(1))).alias("part")).join(texts, "sid")
     blocks = spread.groupBy("main", "away", "part").agg(F.collect_list(F.struct("sid", "comp", "text")).alias("rows"))
     sizes = parts.groupBy("main").agg(F.max(F.when(F.col("away"), F.col("parts"))).alias("outside"), F.max("parts").alias("most"))
-    blocks = blocks.join(sizes, "main")
+    blocks = materialize(blocks.join(sizes, "main"), "op5-blocks")
     groups = F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1) / _GROUP))
     one = blocks.filter("away").select("main", F.col("part").alias("p"), F.col("rows").alias("x"), F.explode(groups).alias("g"))
     turns = F.sequence(F.lit(0).cast("long"), F.col("outside") - 1)
@@ -314,6 +328,15 @@ def _other_links(lists: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar.
+
+    The pairs worth a look are a table of their own: what the driver holds of a plan grows with its joins, once more for each
+    stage that ends, and all stages that wait for no other run at the same time.
+    """
+    return _linked(materialize(_worth(pairs, sets, percent), "op5-pairs"), texts, percent)
+
+
 def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, rows: bool = False) -> DataFrame:
     """One row for each document: id_col, n_shingles, component_id (least id reachable by links, itself included).
 
@@ -340,13 +363,14 @@ def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     sketch = spark.sparkContext.broadcast(counts)
     sets = _shared(_keys(documents, text_col, sketch, boundary, percent), percent)
     sketch.destroy()  # only the table needed it
+    del sketch, counts
     texts = _texts(documents, id_col, text_col, profile, sets)
     entries = sets.select(F.explode("keys").alias("key"), "sid")
     sizes = entries.groupBy("key").agg(F.count("*").alias("all"))
-    few = entries.join(sizes.filter(F.col("all") <= _FEW).select("key"), "key").withColumn("comp", F.col("sid"))
-    lists = materialize(entries.join(sizes.filter(F.col("all") > _FEW).select("key"), "key"), "op5-lists")
-    pairs = _all_pairs(few, few).unionByName(_pivot_pairs(lists, lists, 0)).distinct()
-    comps, costs = components(_linked(_worth(pairs, sets, percent), texts, percent)), []
+    listed = materialize(entries.join(sizes, "key"), "op5-lists")
+    few, lists = listed.filter(F.col("all") <= _FEW), listed.filter(F.col("all") > _FEW).select("key", "sid")
+    pairs = _few_pairs(few).unionByName(_pivot_pairs(lists, lists, 0)).distinct()
+    comps, costs = components(_verified(pairs, sets, texts, percent)), []
     for turn in range(1, _PIVOT_ROUNDS + 1):
         tagged = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp"))
         heads = tagged.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
@@ -364,7 +388,7 @@ def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
         last = slow or turn == _PIVOT_ROUNDS or costs[-1] <= _PAIRS_PER_ENTRY * (size or 0)
         if not last:
             pairs = pairs.unionByName(_pivot_pairs(lists.filter("comp <> main"), lists.filter("comp = main"), turn)).distinct()
-        links = _linked(_worth(pairs, sets, percent), texts, percent)
+        links = _verified(pairs, sets, texts, percent)
         if last and cost:
             links = links.unionByName(_other_links(lists, texts, percent))
         comps = components(links.unionByName(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))

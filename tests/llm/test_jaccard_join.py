@@ -1,6 +1,7 @@
 import random
 import re
 
+import ledgerloom.llm.components as steps
 from ledgerloom.llm import jaccard_join
 from ledgerloom.llm.components import components
 
@@ -115,3 +116,36 @@ def test_a_pair_is_verified_once_and_small_lists_need_no_second_turn(spark, monk
     got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert all(x.doc_id == x.component_id for x in got)
     assert len(seen) == 1 and seen[0] and len({frozenset(p) for p in seen[0]}) == len(seen[0])
+
+
+def test_no_plan_holds_many_joins(spark, monkeypatch):
+    """One plan verified pairs, compared blocks and found components: the driver held it anew for each stage that ended."""
+    joins = []
+
+    def noted(plain):
+        return lambda df, label: joins.append((df._jdf.queryExecution().optimizedPlan().toString().count("Join "), label)) or plain(df, label)
+
+    for module in (jaccard_join, steps):
+        monkeypatch.setattr(module, "materialize", noted(module.materialize))
+    compared, other = [], jaccard_join._other_links
+    monkeypatch.setattr(jaccard_join, "_other_links", lambda *a: compared.append(1) or other(*a))
+    monkeypatch.setattr(jaccard_join, "_FEW", 2)
+    monkeypatch.setattr(jaccard_join, "_FEW_OUTSIDE", 1)
+    monkeypatch.setattr(jaccard_join, "_PIVOT_ROUNDS", 1)
+    r = random.Random(9)
+    words = lambda n: ["".join(r.choices("abcdefgh", k=5)) for _ in range(n)]
+    shared = words(95)
+    rows = list(enumerate(" ".join(shared + words(25)) for _ in range(4)))
+    got = jaccard_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+    assert compared and max(joins)[0] <= 6, sorted(joins)
+
+
+def test_pairs_of_small_lists_and_pivots(spark):
+    entries = [(1, 5), (1, -7), (1, 9), (2, 5), (2, 9), (3, 4)]
+    pairs = {tuple(x) for x in jaccard_join._few_pairs(spark.createDataFrame(entries, "key long, sid long")).collect()}
+    assert pairs == {(-7, 5), (-7, 9), (5, 9)}
+    long = spark.createDataFrame([(1, i) for i in range(500)], "key long, sid long")
+    met = jaccard_join._pivot_pairs(long, long, 0)
+    assert {x for p in met.collect() for x in p} == set(range(500))  # every entry meets a pivot
+    assert "salt" in met._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1]
