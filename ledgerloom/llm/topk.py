@@ -6,12 +6,14 @@ value still possible in their lists, bounds its score from above (below).  Readi
 bound can reach the k-th lower bound, at the latest at the end of the lists, where the bounds meet; the final scores
 of those that are left are then resolved.  The k-th score carries over from block to block, so later blocks stop early.
 
-The stated queries meet all vectors in blocks: a key is a group of at most GROUP queries and one share of the vectors,
-so what a task holds is bounded; what leaves it is k rows for each query that it saw.
+The stated queries meet all vectors in blocks: a key is a group of about GROUP queries at most and one share of the vectors,
+so what a task holds is bounded; what leaves it is k rows for each query that it saw.  Both sides are dealt by key and
+merged, never broadcast: Spark's estimates leave out the copies of the queries, one for each share.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,14 +81,17 @@ class SortedLists:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v array<bigint>) packed into blocks: n, d, ids, vectors (int64 and int32 bytes)."""
+    """Rows (id, v array<bigint>) packed into blocks: n, d, ids (int64) and vectors (the narrowest integers that hold them)."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def out(d: int) -> pa.RecordBatch:
-            ids, vectors = zip(*held.pop(d), strict=True)
-            columns = [pa.array([len(ids)], pa.int32()), pa.array([d], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array(vectors, np.int64).tobytes()])]
+            ids, rows = zip(*held.pop(d), strict=True)
+            vectors = np.array(rows, np.int64)
+            most = max(-int(vectors.min(initial=0)), int(vectors.max(initial=0)))
+            vectors = vectors.astype(next(kind for kind in (np.int16, np.int32, np.int64) if most <= np.iinfo(kind).max))
+            columns = [pa.array([len(ids)], pa.int32()), pa.array([d], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([vectors.tobytes()])]
             return pa.RecordBatch.from_arrays(columns, names=["n", "d", "ids", "vectors"])
 
         for batch in batches:
@@ -100,6 +105,12 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(pack, "n int, d int, ids binary, vectors binary")
 
 
+def _unpack(ids: bytes, vectors: bytes, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and the vectors of a block, as int64."""
+    n = len(ids) // 8
+    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, f"i{len(vectors) // (n * d) if d else 8}").reshape(n, d).astype(np.int64)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """For every query row its k best other rows of vectors: query_id, rank (from 1), id_col, score.
 
@@ -119,15 +130,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
             F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.when(F.abs(x * scale) < 2.0**62, F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")))).alias("v")
         )
 
-    # keys: a share of the vectors, and a group of queries; every query meets every share once
-    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # keys: a share of the vectors, and a group of queries; every query meets every share once.  A vector is copied for
+    # each group and a query for each share, so of all ways to cut into so many keys one near the fewest copies is taken
+    keys = int(spark.conf.get("spark.sql.shuffle.partitions"))
     wanted = clean(queries).groupBy("id").agg(F.min("v").alias("v"))
-    groups = max(1, -(-wanted.count() // GROUP))
+    asking, there = wanted.count(), vectors.count()
+    groups = max(1, -(-asking // GROUP), min(-(-asking // QUERIES), round(math.sqrt(keys * asking / max(1, there)))))
+    shares = -(-keys // groups)
     share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")
     asked = _blocks(wanted, QUERIES).select(share, F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("grp"), "d", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
     dealt = _blocks(clean(vectors), BLOCK).withColumn("share", F.pmod(F.xxhash64("ids", "vectors"), F.lit(shares)).cast("int"))
     dealt = dealt.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    meets = dealt.join(asked, ["share", "grp", "d"]).select("grp", "d", "ids", "vectors", "q_ids", "q")
+    # a stated number of partitions: little data may be much work, so few bytes are no reason to put keys together
+    asked, dealt = (side.repartition(keys, "share", "grp", "d") for side in (asked, dealt))
+    meets = dealt.join(asked.hint("merge"), ["share", "grp", "d"]).select("grp", "d", "ids", "vectors", "q_ids", "q")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -146,9 +162,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 if group != own:
                     yield from found()
                     group = own
-                if held != (ids, block):
-                    lists, held = SortedLists(np.frombuffer(ids, np.int64), np.frombuffer(block, np.int64).reshape(-1, d)), (ids, block)
-                for query_id, query in zip(np.frombuffer(q_ids, np.int64).tolist(), np.frombuffer(q, np.int64).reshape(-1, d), strict=True):
+                if held != (d, ids, block):
+                    lists, held = SortedLists(*_unpack(ids, block, d)), (d, ids, block)
+                own_ids, own_queries = _unpack(q_ids, q, d)
+                for query_id, query in zip(own_ids.tolist(), own_queries, strict=True):
                     old_ids, old = best.get(query_id, (np.empty(0, np.int64), np.empty(0, np.int64)))
                     # the query's own rows, however many, take no place among the k
                     at, score = lists.search(query, k + int(np.count_nonzero(lists.ids == query_id)), int(old[-1]) if len(old) == k else None)

@@ -171,6 +171,37 @@ def test_top_k_with_ties_nulls_and_bounds(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_top_k(vectors):
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors]
+    for q, v in whole:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q and len(w) == len(v))[:10]
+            yield from ((q, k, i, -s) for k, (s, i) in enumerate(best, 1))
+
+
+def test_copies_of_queries_are_never_broadcast(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    # components at the ends of what 16 and 32 bits hold
+    vectors = [(i, [math.sin(i * j) for j in range(1, 9)]) for i in range(401)] + [(600, [-32.0] * 8), (601, [32.0] * 8), (602, [4e6] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "30")
+        # the queries are below this limit, their copies beyond it
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")
+        out = topk.top_k(df, df.filter("vec_id % 100 = 0"))
+        assert sorted(map(tuple, out.collect())) == sorted(brute_top_k(vectors))
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_empty_vectors_may_ask(spark):
+    vectors = [(0, []), (1, []), (100, []), (200, [1.0]), (201, [2.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, df.filter("vec_id % 100 = 0")).collect())) == sorted(brute_top_k(vectors))
+
+
 def test_bounds_stop_reading_early():
     r = np.random.default_rng(2)
     x = r.integers(-50, 50, (4000, 6))
